@@ -35,11 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import textkernel as tk
-from brindle.llm.common import connected_components, materialize, read_table
+from brindle.llm.common import connected_components, materialize, read_table, rows_with_ids
 
 CHUNKS = 64  # the frequency table travels in so many pieces
 BLOCK_ROWS = 1024  # rows of one n-gram that meet in one task
-SLOTS = 1 << 22  # bits of the filter of wanted rows
 
 
 def _fingerprints(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -215,13 +214,8 @@ def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame, k: int, num:
         return pairs.select("a", "b")
     wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     wanted = materialize(facts.select("h", "doc_id").join(wanted, "h", "left_semi"), "wanted")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-    # At most SLOTS / 64 rows, whatever the input.
-    bits = wanted.select(F.floor(slot / 64).alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
-    texts = docs.withColumn("slot", slot).withColumn("place", F.floor(F.col("slot") / 64)).join(F.broadcast(bits), "place")
-    texts = texts.where(F.call_function("shiftrightunsigned", F.col("bits"), (F.col("slot") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = texts.select("doc_id", "text").alias("t").join(wanted.hint("merge").alias("w"), same).select(F.col("w.h").alias("h"), "text")
+    texts = rows_with_ids(docs, wanted).alias("t").join(wanted.hint("merge").alias("w"), same).select(F.col("w.h").alias("h"), "text")
     texts = texts.mapInArrow(_of_set(k), "h long, text string").dropDuplicates(["h"])
     texts = materialize(texts, "texts")
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("text_b")), "b")

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from brindle.llm import ngram_join
+from brindle.llm import chat_format, exact_dedup, line_dedup, ngram_join, secret_scan
 
-QUERIES = {"op1_ngram_jaccard_join": ngram_join.query}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
+    "op2_chat_format": chat_format.query,
+    "op7_exact_dedup": exact_dedup.query,
+    "op8_secret_scan": secret_scan.query,
+    "op9_line_dedup": line_dedup.query,
+}
+ORACLES = {
+    "op2_chat_format": chat_format.ORACLE,
+    "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_secret_scan": secret_scan.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
+}
