@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from brindle.llm import chat_format, exact_dedup, line_dedup, ngram_join, secret_scan
+from brindle.llm import chat_format, exact_dedup, line_dedup, ngram_join, packing, quality_qda, secret_scan, source_mix
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_chat_format": chat_format.query,
+    "op3_source_mix": source_mix.query,
+    "op5_quality_qda": quality_qda.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_secret_scan": secret_scan.query,
     "op9_line_dedup": line_dedup.query,
+    "op10_best_fit_packing": packing.query,
 }
 ORACLES = {
     "op2_chat_format": chat_format.ORACLE,
