@@ -182,5 +182,28 @@ def source_mix(docs: DataFrame, block: int = 128, slots: int = 4096, most: int =
     return out.select("p.doc_id", "p.size", "p.source", "s.source_size", "s.target", F.coalesce("t.taken", F.lit(0)).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, block: int = 128, slots: int = 4096, most: int = 3, seed: int = 20240501) -> DataFrame:
+    """The mix itself, with the columns of ``docs`` (text and source among them).
+
+    A document comes once for every time that some block of it is taken: copy t holds the words of
+    its blocks that are taken t times or more, joined by one space, or the text as it was if they
+    are all its blocks. Documents that the mix does not take, and those without words, are not in it.
+    """
+    names = docs.columns
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).withColumn("key", F.xxhash64(*(F.col(f"row.`{c}`") for c in names)))
+    sized = materialize(row.select(F.col("row.source").cast("string").alias("source"), word_count(F.col("row.text")).alias("size"), "key"), "sized")
+    placed, filled, _ = plan_mix(sized, block, slots, most, seed)
+    took = pieces(materialize(placed, "placed"), filled, block)
+    took = took.groupBy("key", "rank", "offset").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("words").cast("int").alias("words"), "times"))).alias("took"), F.max("times").alias("most"), F.first("size").alias("size"))
+    # Rows that are equal in all columns have one key: any of them will do for each.
+    rows = row.dropDuplicates(["key"]).join(took, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
+    rows = rows.withColumn("mine", F.filter("took", lambda p: p.times >= F.col("copy"))).withColumn("n", F.aggregate("mine", F.lit(0), lambda a, p: a + p.words))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("mine", lambda p: F.slice(F.col("all"), p.start + 1, p.words))), " ")
+    rows = rows.withColumn("all", F.when(F.col("n") < F.col("size"), words))
+    rows = rows.withColumn("text", F.when(F.col("n") < F.col("size"), cut).otherwise(F.col("row.text")))
+    return rows.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix(read_table(spark, sf_dir, "documents"))
