@@ -1,62 +1,23 @@
-"""Scratch tables, column helpers and connected components shared by the operators."""
+"""Column helpers and row filters shared by the operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.operators.components import connected_components
+from brindle.scratch import drop, materialize, shared_dir
+
+__all__ = ["WORD", "ascii_lower", "connected_components", "drop", "materialize", "read_table", "rows_with_ids", "rows_without_ids", "shared_dir"]
+
 #: A word is a run of anything but space and the control characters tab .. carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_scratch: dict[str, str] = {}
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a private folder only where none is named (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if app not in _scratch:
-        root = (base or f"file://{tempfile.mkdtemp(prefix='brindle-')}").rstrip("/")
-        _scratch[app] = f"{root}/brindle-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _scratch[app])
-    return _scratch[app]
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    """At the driver's exit the scratch tables go, if the session still stands."""
-    jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is None or spark.sparkContext._jsc is None:
-        return
-    try:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001  the JVM may be gone already
-        return
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/brindle-" in folder:
-            _remove(df.sparkSession, folder)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -85,41 +46,3 @@ def _sifted(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     bits = ids.select(F.floor(slot / 64).alias("__place"), bit.alias("__bit")).groupBy("__place").agg(F.bit_or("__bit").alias("__bits"))
     found = docs.withColumn("__place", F.floor(slot / 64)).join(F.broadcast(bits), "__place", "left")
     return found.withColumn("__in", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__place", "__bits")
-
-
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node on an edge; component is the smallest node id reachable.
-
-    Alternating large-star and small-star (Kiveris et al., 2014): each step is one partial
-    aggregation and one equi-join on the node, so a hub with many edges is combined before it is
-    shuffled and its join partition can be split by AQE. Every round is written to the shared
-    folder. Self loops, repeated and null edges are ignored; no edges give an empty result.
-    """
-    e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
-    e = materialize(e.where("u > v").distinct(), "edges")
-
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-    before = mark(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(
-            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
-        )
-        new = materialize(small.where("u > v").distinct(), "edges")
-        after = mark(new)
-        drop(e)
-        e = new
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
