@@ -15,7 +15,8 @@ def test_ngram_join(docs, plain, k, t, num, den):
 
 
 def test_ngram_join_blocks(docs, plain, monkeypatch):
-    """Posting lists cut into blocks of three rows."""
+    """Posting lists cut into blocks of three rows, and none but pairs light."""
+    monkeypatch.setattr(ngram_join, "LIGHT", 2)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)
     got = ngram_join.ngram_jaccard_join(docs, 1, "0.4", sketch_bits=12)
     assert multiset(got.collect()) == multiset(near(plain, 1, 2, 5))
