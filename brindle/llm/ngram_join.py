@@ -8,12 +8,14 @@ Plan
  3. A second scan orders each set rarest first (frequency, then hash) and keeps the prefix that
     any partner at the threshold must meet: ``n - ceil(t*n) + 1`` n-grams, with positions, and
     four words of parities for the suffix filter.
- 4. Prefix n-grams that two classes share are the index. First every class is paired with two
-    leaders of each of its n-grams (a linear number of pairs), the pairs are verified, and the
-    links' components found. Then every pair of classes *of different components* that shares a
-    prefix n-gram and passes the length, positional and suffix filters is verified: links inside
-    a component need no proof. Long posting lists are cut into blocks that meet pairwise, so no
-    task holds one whole.
+ 4. Prefix n-grams that two classes share are the index. Those of at most ``LIGHT`` classes give all
+    their pairs that pass the length and positional filters; of heavier ones each class is paired
+    with two leaders. The pairs (a linear number) pass the suffix filter and are verified, first
+    one partner of each class, then those whose classes are still in different components: links
+    inside a component need no proof.
+    Then every pair of classes of different components that shares a heavy prefix n-gram and passes
+    all filters is verified. Long posting lists are cut into blocks that meet pairwise, so no task
+    holds one whole.
  5. Components of all links, by large-star / small-star.
 
 Filters for sizes x <= y and needed overlap ``o = ceil(t/(1+t)*(x+y))``: length ``x >= t*y``;
@@ -31,6 +33,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,7 @@ from brindle.llm import textkernel as tk
 from brindle.llm.common import connected_components, materialize, read_table, rows_with_ids
 
 CHUNKS = 64  # the frequency table travels in so many pieces
+LIGHT = 32  # classes that share an n-gram and all meet
 BLOCK_ROWS = 1024  # rows of one n-gram that meet in one task
 
 
@@ -71,15 +75,24 @@ def _scan_sets(k: int, bits: int):
             table += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
         if table.any():
             none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.record_batch({"doc_id": none, "n": none, "h": none, "chunk": pa.array(range(CHUNKS), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(table, CHUNKS)], pa.binary())})
+            yield pa.record_batch({"doc_id": none, "n": none, "h": none, "chunk": pa.array(range(CHUNKS), pa.int32()), "counts": pa.array([_pressed(x) for x in np.split(table, CHUNKS)], pa.binary())})
 
     return run
 
 
+def _pressed(counts: np.ndarray) -> bytes:
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32) if counts.max(initial=0) <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + zstandard.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _counts(pressed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(pressed[1:]), f"<u{pressed[0]}").astype(np.uint64)
+
+
 def _sum_chunk(chunk: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for x in chunk.column("counts"))
+    total = sum(_counts(x.as_py()) for x in chunk.column("counts"))
     total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
-    return pa.table({"chunk": chunk.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"chunk": chunk.column("chunk").slice(0, 1), "counts": pa.array([_pressed(total)], pa.binary())})
 
 
 def _scan_prefixes(k: int, bits: int, num: int, den: int, frequencies):
@@ -137,18 +150,19 @@ def _needed(x: Column, y: Column, num: int, den: int) -> Column:
     return F.ceil(((x + y) * num).cast("long") / F.lit(num + den)).cast("long")
 
 
-def _filters(l: str, r: str, num: int, den: int, places: bool) -> Column:
-    c = lambda side, name: F.col(f"{side}.{name}")
-    x, y = c(l, "n"), c(r, "n")
-    need = _needed(x, y, num, den)
-    ok = F.least(x, y) * den >= F.greatest(x, y) * num
-    if places:
-        ok &= F.least(x - c(l, "pos"), y - c(r, "pos")) >= need
-    apart = sum((F.bit_count(c(l, f"s{w}").bitwiseXOR(c(r, f"s{w}"))) for w in range(4)), F.lit(0))
-    return ok & (apart <= x + y - need * 2)
+def _sizes_fit(l: str, r: str, num: int, den: int) -> Column:
+    """Length filter, and the positional one where the rows have ``pos``."""
+    x, y = F.col(f"{l}.n"), F.col(f"{r}.n")
+    return (F.least(x, y) * den >= F.greatest(x, y) * num) & (F.least(x - F.col(f"{l}.pos"), y - F.col(f"{r}.pos")) >= _needed(x, y, num, den))
+
 
+def _suffixes_fit(l: str, r: str, num: int, den: int) -> Column:
+    x, y = F.col(f"{l}.n"), F.col(f"{r}.n")
+    apart = sum((F.bit_count(F.col(f"{l}.s{w}").bitwiseXOR(F.col(f"{r}.s{w}"))) for w in range(4)), F.lit(0))
+    return apart <= x + y - _needed(x, y, num, den) * 2
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction | float | str = "0.8", sketch_bits: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction | float | str = "0.8", sketch_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links).
 
     Texts are lower-cased for A-Z; words are runs of anything but space and tab..carriage return.
@@ -168,7 +182,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction | float
     summed = scan.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_sum_chunk, "chunk int, counts binary")
     width = len(table) // CHUNKS
     for chunk, counts in summed.toLocalIterator():  # CHUNKS rows
-        table[chunk * width : (chunk + 1) * width] = np.frombuffer(counts, np.uint32)
+        table[chunk * width : (chunk + 1) * width] = _counts(bytes(counts))
     frequencies = spark.sparkContext.broadcast(table)
 
     reps = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("doc_id"))
@@ -178,30 +192,41 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction | float
     facts = prefixes.select("h", "doc_id", "n", "s0", "s1", "s2", "s3")
 
     postings = prefixes.select("h", "n", F.posexplode("tokens").alias("pos", "token"))
-    lead = F.struct("n", "h", "pos")
-    shared = postings.groupBy("token").agg(F.count("*").alias("df"), F.min(lead).alias("l1"), F.min(F.struct(F.xxhash64("h").alias("by"), "n", "h", "pos")).alias("l2")).where("df > 1")
-    shared = materialize(postings.join(shared, "token").select("token", "h", "n", "pos", "df", F.col("l1.h").alias("l1"), F.col("l1.n").alias("n1"), F.col("l2.h").alias("l2"), F.col("l2.n").alias("n2")), "shared")
-
-    leaders = F.inline(F.array(F.struct(F.col("l1").alias("l"), F.col("n1").alias("ln")), F.struct(F.col("l2").alias("l"), F.col("n2").alias("ln"))))
-    stars = shared.select("h", "n", leaders).where((F.col("h") != F.col("l")) & (F.least("n", "ln") * den >= F.greatest("n", "ln") * num))
-    stars = stars.select(F.least("h", "l").alias("a"), F.greatest("h", "l").alias("b")).distinct()
-    stars = stars.join(facts.alias("x"), F.col("a") == F.col("x.h")).join(facts.alias("y"), F.col("b") == F.col("y.h")).where(_filters("x", "y", num, den, False))
-    stars = materialize(stars.select("a", "b"), "stars")
-    links = _verified(docs, facts, stars, k, num, den)
-
+    often = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = materialize(postings.join(often, "token"), "shared")
+    light, heavy = shared.where(F.col("df") <= LIGHT), shared.where(F.col("df") > LIGHT)
+    ends = F.least("l.h", "r.h").alias("a"), F.greatest("l.h", "r.h").alias("b")
+    meet = (F.col("l.token") == F.col("r.token")) & (F.col("l.h") < F.col("r.h"))
+    pairs = light.alias("l").join(light.alias("r"), meet & _sizes_fit("l", "r", num, den)).select(*ends)
+    leads = heavy.groupBy("token").agg(F.min(F.struct("n", "h")).alias("l1"), F.min(F.struct(F.xxhash64("h").alias("by"), "n", "h")).alias("l2"))
+    leads = heavy.join(leads, "token").select("h", "n", F.explode(F.array(F.struct("l1.h", "l1.n"), F.struct("l2.h", "l2.n"))).alias("r")).alias("l")
+    fit = (F.col("l.h") != F.col("r.h")) & (F.least("n", "r.n") * den >= F.greatest("n", "r.n") * num)
+    pairs = pairs.unionByName(leads.where(fit).select(*ends)).distinct()
+    pairs = pairs.join(facts.alias("x"), F.col("a") == F.col("x.h")).join(facts.alias("y"), F.col("b") == F.col("y.h")).where(_suffixes_fit("x", "y", num, den))
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+
+    each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = each.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("by"), "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+    links = _verified(docs, facts, materialize(first, "first"), k, num, den)
     part = connected_components(links, "a", "b")
-    named = facts.join(part, F.col("h") == F.col("node"), "left").select("h", "s0", "s1", "s2", "s3", F.coalesce("component", "h").alias("part"))
-    listed = shared.select("token", "h", "n", "pos").join(named.select("h", "part"), "h")
-    torn = listed.groupBy("token").agg(F.count("*").alias("df"), F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 <> p2").select("token", F.ceil(F.col("df") / BLOCK_ROWS).cast("int").alias("blocks"))
-    open_ = materialize(listed.join(torn, "token").join(named.drop("part"), "h"), "open")
-    left = open_.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).alias("l")
-    right = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("r")
-    meet = (F.col("l.token") == F.col("r.token")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.h") < F.col("r.h")) & (F.col("l.part") != F.col("r.part"))
-    rest = left.join(right, meet & _filters("l", "r", num, den, True)).select(F.col("l.h").alias("a"), F.col("r.h").alias("b")).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    more = _verified(docs, facts, rest, k, num, den)
-
-    part = connected_components(links.unionByName(more), "a", "b")
+    named = facts.join(part, F.col("h") == F.col("node"), "left").select("h", "n", "s0", "s1", "s2", "s3", F.coalesce("component", "h").alias("part"))
+    side = lambda c: named.select(F.col("h").alias(c), F.col("part").alias(f"part_{c}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where("part_a <> part_b").select("a", "b")
+    links = links.unionByName(_verified(docs, facts, materialize(rest, "rest"), k, num, den))
+    part = materialize(connected_components(links, "a", "b"), "parts")
+
+    if not heavy.isEmpty():
+        named = facts.join(part, F.col("h") == F.col("node"), "left").select("h", "s0", "s1", "s2", "s3", F.coalesce("component", "h").alias("part"))
+        listed = heavy.select("token", "h", "n", "pos").join(named.select("h", "part"), "h")
+        torn = listed.groupBy("token").agg(F.count("*").alias("df"), F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 <> p2").select("token", F.ceil(F.col("df") / BLOCK_ROWS).cast("int").alias("blocks"))
+        open_ = materialize(listed.join(torn, "token").join(named.drop("part"), "h"), "open")
+        left = open_.withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")).alias("l")
+        right = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("r")
+        meet &= (F.col("l.block") == F.col("r.block")) & (F.col("l.part") != F.col("r.part"))
+        more = left.join(right, meet & _sizes_fit("l", "r", num, den) & _suffixes_fit("l", "r", num, den)).select(*ends).distinct()
+        more = _verified(docs, facts, materialize(more.join(pairs, ["a", "b"], "left_anti"), "more"), k, num, den)
+        part = materialize(connected_components(links.unionByName(more), "a", "b"), "parts")
+
     classes = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least")).join(part, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("part"))
     ends = classes.groupBy("part").agg(F.min("least").alias("component_id"))
     classes = materialize(classes.join(ends, "part").select("h", "component_id"), "classes")
