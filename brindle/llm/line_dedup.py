@@ -7,7 +7,9 @@ ranks). Suffixes that share their block with no other leave at once, so each rou
 a hot line is one pre-aggregated pair. Doubling ends at depth ``min_lines``: neighbours in the array
 with a longest common prefix of at least ``min_lines`` are exactly those of equal rank there, and
 each such LCP interval is a run that repeats. The first copy (smallest doc_id, then place) stays,
-the lines of all later copies are deleted; overlapping intervals join to maximal runs.
+the lines of all later copies are deleted; overlapping intervals join to maximal runs. With
+``long_words``, doubling goes line by line instead, and intervals of fewer lines that hold more words
+than that are runs too.
 
 Built-in functions only.
 """
@@ -17,42 +19,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, read_table, rows_with_ids, rows_without_ids
+from brindle.llm.common import WORD, materialize, read_table, rows_with_ids, rows_without_ids
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
 KEY = ["id", "print"]
 
 
-def _ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
-    """(id, print, at, rank) of the rows whose ``by`` is shared; rank follows the order of ``by``."""
+def _ranked(rows: DataFrame, by: list[str], name: str, *more: str) -> DataFrame:
+    """(id, print, at, rank, ``more``) of the rows whose ``by`` is shared; rank follows the order of ``by``."""
     shared = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by)
     ranks = materialize(shared.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), f"{name}-ranks")
     # A repeated row (same id and text) would pair with itself: its lines count once.
-    return materialize(rows.join(ranks, by).select(*KEY, "at", "rank").dropDuplicates(), name)
+    return materialize(rows.join(ranks, by).select(*KEY, "at", "rank", *more).dropDuplicates(), name)
 
 
-def repeated_runs(lines: DataFrame, min_lines: int) -> DataFrame:
-    """Starts (id, print, at) of the later copies in every LCP interval of at least ``min_lines``."""
-    array = _ranked(lines, ["h1", "h2"], "suffixes-1")
-    depth = 1
+def _later(array: DataFrame) -> DataFrame:
+    """The rows of ``array`` that are not the first of their rank."""
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "print", "at")
+    first = array.groupBy("rank").agg(F.min(place).alias("first"))
+    return array.join(first, "rank").where(place != F.col("first"))
+
+
+def repeated_runs(lines: DataFrame, min_lines: int, long_words: int | None = None) -> DataFrame:
+    """(id, print, at, depth) of the later copies: starts of LCP intervals of ``min_lines`` lines, and of
+    shorter ones of more than ``long_words`` words. ``own`` and ``held`` are words of the line and the block."""
+    more = [] if long_words is None else ["own", "held"]
+    array = _ranked(lines, ["h1", "h2"], "suffixes-1", *more)
+    depth, short = 1, []
     while depth < min_lines:
-        step = min(depth, min_lines - depth)
-        ahead = array.select(*KEY, (F.col("at") - step).alias("at"), F.col("rank").alias("then"))
+        if more:
+            short.append(_later(array.where(F.col("held") > long_words)).select(*KEY, "at", F.lit(depth).alias("depth")))
+        step = 1 if more else min(depth, min_lines - depth)
+        ahead = array.select(*KEY, (F.col("at") - step).alias("at"), F.col("rank").alias("then"), *(F.col(c) for c in more))
         same = (F.col("a.id").eqNullSafe(F.col("b.id"))) & (F.col("a.print") == F.col("b.print")) & (F.col("a.at") == F.col("b.at"))
-        pairs = array.alias("a").join(ahead.alias("b"), same).select("a.id", "a.print", "a.at", "a.rank", "b.then")
+        sums = [F.col("a.own"), (F.col("a.own") + F.col("b.held")).alias("held")] if more else []
+        pairs = array.alias("a").join(ahead.alias("b"), same).select("a.id", "a.print", "a.at", "a.rank", "b.then", *sums)
         depth += step
-        array = _ranked(pairs.withColumnRenamed("rank", "now"), ["now", "then"], f"suffixes-{depth}")
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "print", "at")
-    first = array.groupBy("rank").agg(F.min(place).alias("first"))
-    return array.join(first, "rank").where(place != F.col("first")).select(*KEY, "at")
+        array = _ranked(pairs.withColumnRenamed("rank", "now"), ["now", "then"], f"suffixes-{depth}", *more)
+    starts = _later(array).select(*KEY, "at", F.lit(min_lines).alias("depth"))
+    for s in short:
+        starts = starts.unionByName(s)
+    return starts
 
 
-def line_dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", stats: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", stats: bool = False, long_words: int | None = None) -> DataFrame:
     """``docs`` with the later copies of repeated line runs deleted from the text.
 
     Lines end at ``\\n`` and are equal when identical; lines without a word neither join nor part a
-    run and are never deleted. A run has ``min_lines`` lines or more, and may repeat within one
-    document or overlap itself. Order is by id (nulls last), then by the text's hash, then by
+    run and are never deleted. A run has ``min_lines`` lines or more, or, where ``long_words`` is
+    given, fewer lines of more than so many words together; it may repeat within one document or
+    overlap itself. Order is by id (nulls last), then by the text's hash, then by
     place. Rows that repeat both id and text are one document: all of them are cut alike. A null
     text stays null. All columns are kept, whatever their names; with ``stats`` the result is
     (row, text, n_lines, n_removed, n_runs) with the whole input row as a struct, counts of lines
@@ -63,9 +79,10 @@ def line_dedup(docs: DataFrame, min_lines: int = 3, id_col: str = "doc_id", text
     row = row.withColumn("print", F.xxhash64("text"))
     worded = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(HAS_WORD))
     lines = row.where("text is not null").select(*KEY, F.posexplode(worded).alias("at", "line"))
-    lines = lines.select(*KEY, "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
-    starts = repeated_runs(lines, min_lines)
-    gone = starts.select(*KEY, F.explode(F.sequence("at", F.col("at") + min_lines - 1)).alias("at")).distinct()
+    words = [] if long_words is None else [F.regexp_count("line", F.lit(WORD)).alias(c) for c in ("own", "held")]
+    lines = lines.select(*KEY, "at", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), *words)
+    starts = repeated_runs(lines, min_lines, long_words)
+    gone = starts.select(*KEY, F.explode(F.sequence("at", F.col("at") + F.col("depth") - 1)).alias("at")).distinct()
     gone = materialize(gone.groupBy(*KEY).agg(F.sort_array(F.collect_list("at")).alias("gone")), "gone")
 
     cut = rows_with_ids(row, gone, "id").alias("r").join(gone.alias("g"), F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.print") == F.col("g.print")), "left").select("row", "text", "gone")

@@ -75,6 +75,29 @@ def test_lines(spark, texts, least):
     assert got == line_runs(rows, least)
 
 
+@pytest.mark.parametrize("least,long", [(3, 20), (5, 12), (3, 10**6)])
+def test_long_lines(spark, texts, least, long):
+    """Intervals of fewer lines are runs when they hold more than ``long`` words."""
+    rng = random.Random(6)
+    rows = [(i, t) for i, t in enumerate(texts) if t is not None]
+    rows += [(500 + i, "\n".join(rng.choice(["a b c d e f g h", "c", "", " ", "d " * 13]) for _ in range(rng.randint(0, 12)))) for i in range(30)]
+    want, seen = {}, set()
+    for d, t in rows:
+        s = [(i, x) for i, x in enumerate(t.split("\n")) if words(x)]
+        gone = set()
+        for i in range(len(s)):
+            for n in range(1, min(least, len(s) - i) + 1):
+                key = tuple(x for _, x in s[i : i + n])
+                if n == least or sum(len(words(x)) for x in key) > long:
+                    if key in seen:
+                        gone |= {j for j, _ in s[i : i + n]}
+                    seen.add(key)
+        want[d, t] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["row"]["doc_id"], r["row"]["text"]): r["text"] for r in line_dedup.line_dedup(df, least, stats=True, long_words=long).collect()}
+    assert got == want and (long == 10**6) == (got == line_runs(rows, least))
+
+
 def test_line_rows(spark, docs, empty, clashing):
     """All columns stay; null texts too; rows equal in id and text are cut alike."""
     assert line_dedup.line_dedup(empty).count() == 0
