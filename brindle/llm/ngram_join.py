@@ -17,6 +17,10 @@ Plan
     all filters is verified. Long posting lists are cut into blocks that meet pairwise, so no task
     holds one whole.
  5. Components of all links, by large-star / small-star.
+ 6. For the number of links, every pair of classes of one component is verified. A component is cut
+    into blocks that meet pairwise, each text going once to every block that it meets, and the
+    overlaps of two blocks come from one product of their incidence matrices. Classes of different
+    components have no link, as step 4 has shown.
 
 Filters for sizes x <= y and needed overlap ``o = ceil(t/(1+t)*(x+y))``: length ``x >= t*y``;
 positional ``1 + min(x-i-1, y-j-1) >= o`` at the first shared n-gram (places i, j); suffix: the
@@ -43,6 +47,8 @@ from brindle.llm.common import connected_components, materialize, read_table, ro
 CHUNKS = 64  # the frequency table travels in so many pieces
 LIGHT = 32  # classes that share an n-gram and all meet
 BLOCK_ROWS = 1024  # rows of one n-gram that meet in one task
+LINK_BLOCK = 256  # classes of one component that meet as many others in one task
+COLUMNS = 4096  # n-grams of a block that are counted at once
 
 
 def _fingerprints(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -124,20 +130,21 @@ def _scan_prefixes(k: int, bits: int, num: int, den: int, frequencies):
     return run
 
 
-def _verify(k: int, num: int, den: int):
-    def sets_of(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        for _, data, offsets in tk.slices(column):
-            sets, at = tk.shingle_sets(tk.lower(data), offsets, k)
-            out += [sets[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        return out
+def _sets_of(column: pa.Array, k: int) -> list[np.ndarray]:
+    out = []
+    for _, data, offsets in tk.slices(column):
+        sets, at = tk.shingle_sets(tk.lower(data), offsets, k)
+        out += [sets[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return out
+
 
+def _verify(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
                 good = []
-                for x, y in zip(sets_of(batch.column("text_a")), sets_of(batch.column("text_b")), strict=True):
+                for x, y in zip(_sets_of(batch.column("text_a"), k), _sets_of(batch.column("text_b"), k), strict=True):
                     both = len(x) + len(y) - len(np.union1d(x, y))
                     good.append(den * both >= num * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -145,6 +152,44 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``a`` with those at ``b``."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total, width = np.zeros((len(a), len(b)), np.int64), int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, width, COLUMNS):
+        i, j = np.searchsorted(column, [low, low + COLUMNS])
+        there = np.zeros((len(sets), min(COLUMNS, width - low)), np.float32)
+        there[row[i:j], column[i:j] - low] = 1
+        total += (there[a] @ there[b].T).astype(np.int64)
+    return total
+
+
+def _degrees(k: int, num: int, den: int):
+    """Of two blocks of a component (or one, with itself): each class and the rows that its links in there lead to."""
+
+    def run(t: pa.Table) -> pa.Table:
+        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        h, copies, mine = (t.column(c).to_numpy() for c in ("h", "copies", "mine"))
+        sets = [x for chunk in t.column("text").chunks for x in _sets_of(chunk, k)]
+        a, b = (np.flatnonzero(mine == x) for x in (lo, hi))
+        n, both = np.array([len(x) for x in sets]), _overlaps(sets, a, b)
+        link = den * both >= num * (n[a][:, None] + n[b] - both)
+        degree = np.zeros(len(h), np.int64)
+        if lo == hi:
+            np.fill_diagonal(link, False)
+            degree[a] = link @ copies[b]
+        else:
+            degree[a], degree[b] = link @ copies[b], copies[a] @ link
+        return pa.table({"h": pa.array(h), "links": pa.array(degree)})
+
+    return run
+
+
 def _needed(x: Column, y: Column, num: int, den: int) -> Column:
     """Least overlap of sets of sizes x and y at the threshold num/den."""
     return F.ceil(((x + y) * num).cast("long") / F.lit(num + den)).cast("long")
@@ -162,9 +207,11 @@ def _suffixes_fit(l: str, r: str, num: int, den: int) -> Column:
     return apart <= x + y - _needed(x, y, num, den) * 2
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction | float | str = "0.8", sketch_bits: int = 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction | float | str = "0.8", sketch_bits: int = 22, id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links).
 
+    With ``links`` also ``n_links``: the number of other rows, copies included, that the row links with.
+
     Texts are lower-cased for A-Z; words are runs of anything but space and tab..carriage return.
     Null or word-less text: ``n_shingles`` 0, linked with nothing, its own id as component. Fewer
     than ``k`` words: the whole sequence is the one n-gram. Equal sets always link. Rows that
@@ -207,13 +254,13 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction | float
 
     each = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = each.groupBy("a").agg(F.min(F.struct(F.xxhash64("b").alias("by"), "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
-    links = _verified(docs, facts, materialize(first, "first"), k, num, den)
-    part = connected_components(links, "a", "b")
+    linked = _verified(docs, facts, materialize(first, "first"), k, num, den)
+    part = connected_components(linked, "a", "b")
     named = facts.join(part, F.col("h") == F.col("node"), "left").select("h", "n", "s0", "s1", "s2", "s3", F.coalesce("component", "h").alias("part"))
     side = lambda c: named.select(F.col("h").alias(c), F.col("part").alias(f"part_{c}"))
     rest = pairs.join(first, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where("part_a <> part_b").select("a", "b")
-    links = links.unionByName(_verified(docs, facts, materialize(rest, "rest"), k, num, den))
-    part = materialize(connected_components(links, "a", "b"), "parts")
+    linked = linked.unionByName(_verified(docs, facts, materialize(rest, "rest"), k, num, den))
+    part = materialize(connected_components(linked, "a", "b"), "parts")
 
     if not heavy.isEmpty():
         named = facts.join(part, F.col("h") == F.col("node"), "left").select("h", "s0", "s1", "s2", "s3", F.coalesce("component", "h").alias("part"))
@@ -225,24 +272,46 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction | float
         meet &= (F.col("l.block") == F.col("r.block")) & (F.col("l.part") != F.col("r.part"))
         more = left.join(right, meet & _sizes_fit("l", "r", num, den) & _suffixes_fit("l", "r", num, den)).select(*ends).distinct()
         more = _verified(docs, facts, materialize(more.join(pairs, ["a", "b"], "left_anti"), "more"), k, num, den)
-        part = materialize(connected_components(links.unionByName(more), "a", "b"), "parts")
+        part = materialize(connected_components(linked.unionByName(more), "a", "b"), "parts")
 
-    classes = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least")).join(part, F.col("h") == F.col("node"), "left").select("h", "least", F.coalesce("component", "h").alias("part"))
+    copies = rows.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    classes = copies.join(part, F.col("h") == F.col("node"), "left").select("h", "least", "copies", F.coalesce("component", "h").alias("part"))
     ends = classes.groupBy("part").agg(F.min("least").alias("component_id"))
-    classes = materialize(classes.join(ends, "part").select("h", "component_id"), "classes")
-    return rows.join(classes, "h", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    classes = classes.join(ends, "part").select("h", "component_id", "copies")
+    if links:
+        own = copies.select("h", "copies").join(part, F.col("h") == F.col("node")).select("h", "copies", F.col("component").alias("part"))
+        classes = classes.join(_link_counts(docs, facts, own, k, num, den), "h", "left")
+        classes = classes.select("h", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    classes = materialize(classes, "classes")
+    out = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    return rows.join(classes, "h", "left").select(*out, *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []))
+
+
+def _link_counts(docs: DataFrame, facts: DataFrame, own: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(h, links) of the classes ``own`` (h, copies, part) of components of two or more: rows of other classes that they link with."""
+    own = materialize(own, "members")
+    sizes = own.groupBy("part").agg(F.ceil(F.count("*") / LINK_BLOCK).cast("int").alias("blocks"))
+    cells = own.join(sizes, "part").withColumn("mine", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("part", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "h", "copies")
+    cells = cells.join(_texts(docs, facts, own.select("h"), k), "h")
+    found = materialize(cells.groupBy("part", "lo", "hi").applyInArrow(_degrees(k, num, den), "h long, links long"), "degrees")
+    return found.groupBy("h").agg(F.sum("links").alias("links"))
+
+
+def _texts(docs: DataFrame, facts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(h, text), one text of each wanted set. Only those texts are shuffled."""
+    wanted = materialize(facts.select("h", "doc_id").join(wanted, "h", "left_semi"), "wanted")
+    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
+    texts = rows_with_ids(docs, wanted).alias("t").join(wanted.hint("merge").alias("w"), same).select(F.col("w.h").alias("h"), "text")
+    return materialize(texts.mapInArrow(_of_set(k), "h long, text string").dropDuplicates(["h"]), "texts")
 
 
 def _verified(docs: DataFrame, facts: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set fingerprints whose texts link. Only texts that the pairs name are shuffled."""
+    """The pairs (a, b) of set fingerprints whose texts link."""
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    wanted = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    wanted = materialize(facts.select("h", "doc_id").join(wanted, "h", "left_semi"), "wanted")
-    same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))
-    texts = rows_with_ids(docs, wanted).alias("t").join(wanted.hint("merge").alias("w"), same).select(F.col("w.h").alias("h"), "text")
-    texts = texts.mapInArrow(_of_set(k), "h long, text string").dropDuplicates(["h"])
-    texts = materialize(texts, "texts")
+    texts = _texts(docs, facts, pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct(), k)
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("text").alias("text_b")), "b")
     return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, num, den), "a long, b long"), "links")
 
@@ -260,4 +329,4 @@ def _of_set(k: int):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(read_table(spark, sf_dir, "documents"), k=3, threshold="0.9")
+    return ngram_jaccard_join(read_table(spark, sf_dir, "documents"), k=3, threshold="0.9", links=True)

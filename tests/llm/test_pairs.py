@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from brute import components, multiset, near, substrings
+from brute import components, multiset, near, shingles, substrings
 
 from brindle.llm import embedding_itq, ngram_join, substring_dedup
 from brindle.llm import textkernel as tk
@@ -22,6 +22,17 @@ def test_ngram_join_blocks(docs, plain, monkeypatch):
     assert multiset(got.collect()) == multiset(near(plain, 1, 2, 5))
 
 
+@pytest.mark.parametrize("k,t,num,den,block", [(3, "0.9", 9, 10, 256), (1, "0.4", 2, 5, 3)])
+def test_ngram_join_links(docs, plain, monkeypatch, k, t, num, den, block):
+    """Every link counts, also inside a component that other links hold together, and in blocks."""
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 50)
+    sets = [shingles(text, k) for _, text in plain]
+    degree = [sum(den * len(x & y) >= num * len(x | y) for y in sets) - 1 if x else 0 for x in sets]
+    got = ngram_join.ngram_jaccard_join(docs, k, t, sketch_bits=12, links=True)
+    assert multiset(got.collect()) == multiset([(*r, n) for r, n in zip(near(plain, k, num, den), degree, strict=True)])
+
+
 def test_ngram_join_edges(empty, clashing, plain):
     assert ngram_join.ngram_jaccard_join(empty).count() == 0
     assert multiset(ngram_join.ngram_jaccard_join(clashing, 3, "0.9", sketch_bits=12).collect()) == multiset(near(plain, 3, 9, 10))
