@@ -13,10 +13,13 @@ from brindle.llm import line_dedup, ngram_join, packing, quality_qda, source_mix
 from brindle.llm.common import materialize, read_table, rows_with_ids, rows_without_ids
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` less the ids in ``gone``; only rows that may be among them are shuffled."""
-    near = rows_with_ids(docs, gone).join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return rows_without_ids(docs, gone).select(*docs.columns).unionByName(near)
+def _without(docs: DataFrame, gone: DataFrame, id_col: str, *also: str) -> DataFrame:
+    """``docs`` less the rows in ``gone``, by ``id_col`` and ``also`` (nulls match); only rows that may be among them are shuffled."""
+    same = F.lit(True)
+    for c in (id_col, *also):
+        same &= F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}"))
+    near = rows_with_ids(docs, gone, id_col).alias("d").join(gone.alias("g"), same, "left_anti").select(*docs.columns)
+    return rows_without_ids(docs, gone, id_col).select(*docs.columns).unionByName(near)
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -25,10 +28,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. Rows of one id go when all of them are rejected."""
+    """Documents that the classifier does not reject. Each row is judged by its own text."""
     scored = quality_qda.classify(docs, read_table(spark, sf_dir, "labels"))
-    gone = scored.where("doc_id is not null").groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select("doc_id")
-    return _without(docs, materialize(gone, "rejected"))
+    gone = materialize(scored.where("predicted = 0").select("doc_id", F.col("key").alias("__key")).distinct(), "rejected")
+    return _without(docs.withColumn("__key", F.xxhash64(F.col("text").cast("string"))), gone, "doc_id", "__key").drop("__key")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +42,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8) stays: the one of smallest id."""
-    joined = ngram_join.ngram_jaccard_join(docs, k=5, threshold="0.8")
-    gone = joined.where("doc_id <> component_id").select("doc_id").distinct()
-    return _without(docs, materialize(gone, "copies"))
+    """One row of each group of near copies (five words, 0.8) stays: of smallest id (nulls last), then text hash, then any."""
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    joined = ngram_join.ngram_jaccard_join(rows, k=5, threshold="0.8", id_col="__row").withColumnRenamed("doc_id", "__row")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("print"), "__row").alias("place")
+    placed = joined.join(rows.select("__row", place), "__row")
+    first = placed.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = placed.join(first, "component_id").where("__row <> first.__row").select("__row")
+    return _without(rows, materialize(gone, "copies"), "__row").drop("__row")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

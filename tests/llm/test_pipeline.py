@@ -39,6 +39,28 @@ def test_stages(spark, docs, tmp_path):
     assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in ran.collect()) == Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in kept[4])
 
 
+def test_rows_apart(spark, docs, tmp_path):
+    """Null and repeated ids: each row is judged by its own text, and one of each group of near copies stays."""
+    labels = docs.where("doc_id is not null").select("doc_id", F.when(F.length("text") > 20, 1).otherwise(0).alias("quality")).distinct()
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    more = [(None, "one", "en", "src0", 3), (2, "one", "en", "src0", 3), (3, text[2], "en", "src0", 1), (70, text[2], "en", "src0", 1), (None, text[6] + " own end", "en", "src0", 1), (4, None, "en", "src0", 0)]
+    rows = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    mark = {(r["doc_id"], r["key"]): r["predicted"] for r in quality_qda.classify(rows, labels).collect()}
+    hashed = rows.withColumn("key", F.xxhash64("text")).collect()
+    want = Counter((r["doc_id"], r["text"]) for r in hashed if mark[r["doc_id"], r["key"]])
+    assert Counter((r["doc_id"], r["text"]) for r in p.quality(spark, rows, str(tmp_path)).collect()) == want and 0 < sum(want.values()) < len(hashed)
+    plain = [(r["doc_id"], r["text"]) for r in hashed]
+    groups = {}
+    for i, n, c in near([(i, t) for i, (_, t) in enumerate(plain)], 5, 4, 5):
+        groups.setdefault(c if n else -1 - i, []).append(plain[i])
+    kept = Counter((r["doc_id"], r["text"]) for r in p.near_copies(spark, rows, "").collect())
+    assert sum(kept.values()) == len(groups) < len(plain)
+    for g in groups.values():
+        least = min((d for d, _ in g if d is not None), default=None)
+        assert sum(kept[x] > 0 for x in set(g)) == 1 and any(kept[x] for x in g if x[0] == least)
+
+
 def test_empty(spark, docs, tmp_path):
     none = docs.limit(0)
     none.select("doc_id", F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
