@@ -183,11 +183,15 @@ def _merge(with_run: bool):
 
 
 class FingerprintIndex:
-    """Runs of (anchor, span) -> (smallest id, place), for one ``width``, ``gram`` and number of buckets."""
+    """Runs of (anchor, span) -> (smallest id, place), for one ``width``, ``gram`` and number of buckets.
+
+    ``texts``: the documents of earlier calls (id, print, text), against which open spans are verified.
+    """
 
     def __init__(self, buckets: int, width: int = 13, gram: int = 5, most_runs: int = 4) -> None:
         self.buckets, self.width, self.gram, self.most_runs = buckets, width, gram, most_runs
         self.runs: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
 
     def add(self, batch: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
         """(repeated, open) spans of ``batch`` (id, print, text), whose ids are above all indexed ones.
@@ -315,10 +319,16 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, batches: in
     smaller than each other. A null id counts as larger than any other. Other columns are ignored.
     ``batches``: parts by ascending id, merged with the index one after the other (more of them:
     less memory a bucket). ``buckets`` defaults to four for each partition of the input.
+    ``index``: documents of earlier calls with it count as smaller where their ids are; it keeps all
+    documents of this call, texts included. Ids should ascend from call to call, as what an earlier
+    call returned stays. Its ``width`` and ``gram`` must be those of the call.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("print", F.xxhash64("text")).drop("doc_id")
     texts = rows.where("text is not null")
+    carried = index is not None
+    if carried and (index.width, index.gram) != (width, gram):
+        raise ValueError("the index has another width or gram")
     index = index or FingerprintIndex(buckets or max(32, 4 * docs.rdd.getNumPartitions()), width, gram)
     cuts = rows.select(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10000).alias("c")).first()["c"] if batches > 1 else []
     edges = sorted(set(cuts or []))
@@ -326,7 +336,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, batches: in
     for i, low in enumerate([None, *edges]):
         part = texts if low is None else texts.where(F.col("id") > low)
         part = part if i == len(edges) else part.where(F.col("id") <= edges[i])
-        r, o = index.add(part, keep=i < len(edges))
+        r, o = index.add(part, keep=carried or i < len(edges))
         repeated.append(r)
         open_.append(o)
     spans_ = repeated[0]
@@ -335,7 +345,12 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, batches: in
     asked = open_[0]
     for o in open_[1:]:
         asked = asked.unionByName(o)
-    spans_ = spans_.unionByName(verify(texts, asked, width))
+    known = texts.select("id", "print", "text")
+    for earlier in index.texts:
+        known = known.unionByName(earlier)
+    spans_ = spans_.unionByName(verify(known, asked, width))
+    if carried:
+        index.texts.append(materialize(texts.select("id", "print", "text"), "history"))
     gone = materialize(_by_document(spans_, "start", "count"), "gone")
     cut = rows_with_ids(rows, gone, "id").join(gone, ["id", "print"], "left").select("id", "text", "wanted")
     whole = rows_without_ids(rows, gone, "id").select("id", "text", F.lit(None).cast("array<struct<start:int,count:int>>").alias("wanted"))

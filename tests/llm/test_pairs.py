@@ -51,6 +51,15 @@ def test_substring_index(docs, plain, width, gram, batches):
     assert len(index.runs) <= 3
 
 
+@pytest.mark.parametrize("width,gram,batches", [(13, 5, 2), (5, 2, 1)])
+def test_substring_history(docs, plain, width, gram, batches):
+    """Two calls with one index give what one call over both inputs gives."""
+    index = substring_dedup.FingerprintIndex(4, width, gram)
+    low = substring_dedup.substring_dedup(docs.where("doc_id < 40"), width, gram, batches, index=index)
+    high = substring_dedup.substring_dedup(docs.where("doc_id is null or doc_id >= 40"), width, gram, batches, index=index)
+    assert multiset(low.collect() + high.collect()) == multiset(substrings(plain, width))
+
+
 def test_substring_edges(empty, clashing, plain, docs):
     assert substring_dedup.substring_dedup(empty, buckets=4).count() == 0
     assert multiset(substring_dedup.substring_dedup(clashing, buckets=4).collect()) == multiset(substrings(plain, 13))
