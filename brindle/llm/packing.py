@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from brindle.llm import textkernel as tk
 from brindle.llm.common import materialize, read_table
 
 EOS = 2
-CACHE = 1_000_000  # distinct chunks that a worker remembers
+CACHE = 48 << 20  # bytes of chunks that a worker remembers
+JOINED = 2048  # bytes of chunks that are encoded as one text
 PARTS = 1024  # a length's pieces are ranked in so many parts
 MAX_RUNS = 1_000_000
 
@@ -71,50 +73,89 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of texts by a tokenizer file, each distinct chunk encoded once."""
+    """Token ids of texts by a tokenizer file, each distinct chunk encoded once.
 
-    def __init__(self, path: str) -> None:
+    What is remembered are flat arrays (a chunk's hash, place and number of ids, and the ids), of
+    ``most`` bytes at the utmost.
+    """
+
+    def __init__(self, path: str, most: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        words = self.tokenizer.get_vocab()  # a character stands for a byte
+        self.bytes_of = np.zeros(max(words.values()) + 1, np.int64)
+        self.bytes_of[np.fromiter(words.values(), np.int64, len(words))] = np.fromiter(map(len, words), np.int64, len(words))
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.first = np.zeros(1, np.int64)
-        self.flat = np.empty(0, np.uint32)
+        self.keys, self.first, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)  # by key
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode the chunks of unknown, ascending ``keys`` and merge them into what is known.
+
+        A chunk of a space and what is none is a token border wherever it follows, so such chunks go
+        to the tokenizer many at once; the bytes of the ids tell where each ends.
+        """
+        raw = data.tobytes()
+        joined = (ends - starts > 1) & (data[starts] == 0x20) & _SOLID[data[np.minimum(starts + 1, len(data) - 1)]]
+        joined &= SPECIAL not in raw
+        order = np.argsort(~joined, kind="stable")
+        pieces = [raw[a:b] for a, b in zip(starts[order].tolist(), ends[order].tolist(), strict=True)]
+        n = int(joined.sum())
+        total = np.cumsum((ends - starts)[order[:n]])
+        groups = np.flatnonzero(np.diff(total // JOINED, prepend=-1)).tolist()
+        texts = [b"".join(pieces[i:j]).decode() for i, j in zip(groups, [*groups, n][1:], strict=True)]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([*texts, *(x.decode() for x in pieces[n:])], add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+        alone = np.fromiter(map(len, ids[len(groups) :]), np.int64, len(pieces) - n)
+        until = np.cumsum(self.bytes_of[flat[: len(flat) - int(alone.sum())]])
+        last = np.searchsorted(until, total, "right")
+        if n and not (until[last - 1] == total).all():
+            raise ValueError("the tokenizer does not cut at spaces")
+        size = np.empty(len(keys), np.int64)
+        size[order] = np.concatenate([np.diff(last, prepend=0), alone])
+        first = np.empty(len(keys), np.int64)
+        first[order] = self.used + np.cumsum(size[order]) - size[order]
+        if self.used + len(flat) > len(self.flat):
+            grown = np.empty(2 * (self.used + len(flat)), np.uint32)
+            grown[: self.used] = self.flat[: self.used]
+            self.flat = grown
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, each followed by EOS, and where each text's ids begin (one more at the end)."""
         starts = cuts(data, offsets)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         keys = tk.word_hashes(data, starts, ends)
-        some, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        known = self.known
-        at = [known.get(k, -1) for k in some.tolist()]
-        new = [i for i, x in enumerate(at) if x < 0]
-        if new:
-            raw = data.tobytes()
-            chunks = [raw[starts[j] : ends[j]].decode() for j in where[new].tolist()]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            base = len(self.first) - 1
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.uint32, int(sizes.sum()))])
-            for n, i in enumerate(new):
-                at[i] = known[int(some[i])] = base + n
-        index = np.array(at, np.int64)[back]
-        first, sizes = self.first[index], self.first[index + 1] - self.first[index]
+        order = np.argsort(keys)
+        sorted_ = keys[order]
+        head = np.ones(len(sorted_), bool)
+        np.not_equal(sorted_[1:], sorted_[:-1], out=head[1:])
+        some, where = sorted_[head], order[head]
+        at = np.searchsorted(self.keys, some)
+        new = np.ones(len(some), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != some[inside]
+        if new.any():
+            self._learn(some[new], data, starts[where[new]], ends[where[new]])
+            at = np.searchsorted(self.keys, some)
+        index = np.empty(len(keys), np.int64)
+        index[order] = at[np.cumsum(head) - 1] if len(order) else at
+        first, sizes = self.first[index], self.size[index].astype(np.int64)
         row = np.searchsorted(offsets, starts, "right") - 1
         count = np.bincount(row, sizes, len(offsets) - 1).astype(np.int64) + 1
         begin = np.concatenate([[0], np.cumsum(count)])
         out = np.full(begin[-1], EOS, np.uint32)
         place = np.cumsum(sizes) - sizes
-        total = int(sizes.sum())
-        step = np.arange(total) - np.repeat(place, sizes)
-        out[np.repeat(place + row, sizes) + step] = self.flat[np.repeat(first, sizes) + step]
-        if len(known) > CACHE:
+        step = np.arange(int(sizes.sum()))
+        out[step + np.repeat(row, sizes)] = self.flat[step + np.repeat(first - place, sizes)]
+        if 20 * len(self.keys) + 4 * len(self.flat) > self.most:
             self.clear()
         return out, begin
 
