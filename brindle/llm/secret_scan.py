@@ -5,6 +5,10 @@ names a blob. The ledger records which rule at which version has read which blob
 distinct blobs, leaves out the (blob, rule, version) triples that the ledger knows, runs the rest,
 and joins old and new findings back to all paths. Built-in functions only.
 
+Addresses are planned first, without texts: one path of each blob that a rule has yet to read is
+chosen. Rows whose path alone shows that their blob is new and nowhere else are then read in place;
+texts are shuffled only of copies and of blobs that the ledger knows in part.
+
 Places of matches come from two built-ins that walk a text alike: the pieces between matches and
 the matches themselves; the running sum of their lengths gives every start.
 """
@@ -17,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialize, read_table
+from brindle.llm.common import load_tables, materialize, read_table, rows_with_ids, rows_without_ids, save_tables
 
 
 @dataclass(frozen=True)
@@ -75,12 +79,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("blob", F.unhex(F.sha2("text", 256)))
+    paths = materialize(texts.select("doc_id", "blob"), "paths")
     every = F.array(*(F.lit(f"{r.kind}/{r.version}") for r in rules))
-    blobs = texts.select("blob", "text").dropDuplicates(["blob"])
+    blobs = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    none = F.array().cast("array<string>")
     if ledger is None:
-        blobs = blobs.withColumn("todo", every)
+        blobs = blobs.withColumn("done", none)
     else:
-        blobs = blobs.join(ledger.select("blob", "done"), "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))).where(F.size("todo") > 0)
+        blobs = blobs.join(ledger.select("blob", "done"), "blob", "left").withColumn("done", F.coalesce("done", none))
+    blobs = materialize(blobs.withColumn("todo", F.array_except(every, "done")).withColumn("plain", (F.col("n") == 1) & (F.size("done") == 0)), "blobs")
+    need = blobs.where(F.size("todo") > 0).select("blob", "doc_id", "todo")
+    odd = materialize(paths.join(blobs.where("not plain").select("blob"), "blob", "left_semi").select("doc_id"), "odd")
+    texts = rows_with_ids(texts, need)
+    alone = rows_without_ids(texts, odd).withColumn("todo", every).select("blob", "text", "todo")
+    same = (F.col("t.blob") == F.col("n.blob")) & F.col("t.doc_id").eqNullSafe(F.col("n.doc_id"))
+    chosen = rows_with_ids(texts, odd).alias("t").join(need.alias("n"), same).select("t.blob", "t.text", "n.todo").dropDuplicates(["blob"])
+    blobs = alone.unionByName(chosen)
     found = F.concat(*(_matches(r) for r in rules))
     scanned = materialize(blobs.select("blob", "todo", found.alias("found")), "scanned")
 
@@ -88,12 +102,23 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | N
     rows = scanned.where(F.size("found") > 0).select("blob", F.posexplode("found").alias("at", "m"))
     end = F.sum(F.col("m.gap").cast("long") + F.col("m.size")).over(place)
     new = rows.withColumn("end", end).where("m.ok").select("blob", F.col("m.kind").alias("kind"), F.col("m.version").alias("version"), (F.col("end") - F.col("m.size")).alias("start"), "end")
-    done = scanned.select("blob", F.col("todo").alias("done"))
+    done = need.select("blob", F.col("todo").alias("done"))
     if ledger is not None:
         done = ledger.select("blob", "done").unionByName(done).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("done"))).alias("done"))
     if findings is not None:
         new = findings.select("blob", "kind", "version", "start", "end").unionByName(new)
-    return texts.select("doc_id", "blob"), done, new
+    return paths, done, new
+
+
+def save(ledger: DataFrame, findings: DataFrame, folder: str) -> str:
+    """Write ledger and findings as the next version in ``folder``, for a later session."""
+    return save_tables({"ledger": ledger, "findings": findings}, folder)
+
+
+def load(spark: SparkSession, folder: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(ledger, findings) as last saved in ``folder``; two times None where nothing was."""
+    tables = load_tables(spark, folder)
+    return tables.get("ledger"), tables.get("findings")
 
 
 def report(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES, base: int = BASE) -> DataFrame:
@@ -112,8 +137,14 @@ def report(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULE
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _, findings = scan(read_table(spark, sf_dir, "documents"))
-    return report(paths, findings)
+    """The table in two batches of versions by ascending id: the ledger of the first spares the second what is known."""
+    docs = read_table(spark, sf_dir, "documents")
+    cut = docs.select(F.percentile_approx("doc_id", 0.5).alias("c")).first()["c"]
+    old = F.coalesce(F.col("doc_id") <= F.lit(cut), F.lit(False))
+    paths, ledger, findings = scan(docs.where(old))
+    ledger, findings = materialize(ledger, "ledger"), materialize(findings, "findings")
+    more, _, findings = scan(docs.where(~old), ledger=ledger, findings=findings)
+    return report(paths.unionByName(more), findings)
 
 
 def _sql() -> str:
