@@ -3,8 +3,8 @@
 A text is cut into chunks; a chunk's hash is the value of its bytes as a polynomial modulo two
 primes. Hashes compose by length-shifted arithmetic, ``H(xy) = H(x) * B**len(y) + H(y)``, so chunks
 of a huge text are hashed by different tasks and summed, each shifted by what follows it. Rows of
-equal fingerprint and length are then compared chunk by chunk with one row of their group; a
-fingerprint that unequal texts share is split by digest.
+equal fingerprint and length are then compared chunk by chunk: all chunks of a group at one place are
+equal when the least of them is the largest. A fingerprint that unequal texts share is split by digest.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def _huge(docs: DataFrame, chunk: int, huge: int, keep_bits: int) -> DataFrame:
     return low.select("doc_id", "sha").alias("l").join(hashed.alias("r"), same).select("l.doc_id", "r.fp", "r.bytes", "l.sha")
 
 
-def exact_dedup(docs: DataFrame, chunk: int = CHUNK, huge: int = 1 << 22, keep_bits: int = 62, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, chunk: int = CHUNK, huge: int = CHUNK, keep_bits: int = 62, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty, and empty texts
@@ -125,17 +125,19 @@ def exact_dedup(docs: DataFrame, chunk: int = CHUNK, huge: int = 1 << 22, keep_b
     rows = materialize(docs.where(~long_).mapInArrow(_scan(chunk, keep_bits), out).unionByName(_huge(docs.where(long_), chunk, huge, keep_bits)), "prints")
 
     key = ["fp", "bytes"]
-    groups = rows.groupBy(*key).agg(F.count("*").alias("n"), F.max("doc_id").alias("first")).where("n > 1")
-    members = materialize(rows.join(groups, key).select("doc_id", "sha", *key, "first").distinct(), "members")
+    # Groups are written before rows are joined with them, so that a hot group's rows can be split.
+    groups = materialize(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key), "groups")
+    members = materialize(rows.join(groups, key).select("doc_id", "sha", *key).distinct(), "members")
     low = rows_with_ids(docs, members).withColumn("text", ascii_lower(F.col("text"))).withColumn("sha", F.sha2("text", 256))
     same = F.col("l.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("l.sha") == F.col("m.sha"))
     parts = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / chunk).cast("int")), lambda i: F.substr("text", i * chunk + 1, F.lit(chunk)))
-    texts = materialize(low.alias("l").join(members.alias("m"), same).select("m.*", F.posexplode(parts).alias("seq", "part")), "parts")
-    first = texts.where(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy(*key, "seq").agg(F.min("part").alias("want"))
-    clash = texts.join(first, [*key, "seq"], "left").where(~F.col("part").eqNullSafe(F.col("want"))).select(*key).distinct().withColumn("clash", F.lit(True))
+    parts = low.alias("l").join(members.alias("m"), same).select("m.fp", "m.bytes", F.posexplode(parts).alias("seq", "part"))
+    # Chunks in the same place are equal when the least is the largest; each task sends one of either.
+    apart = parts.groupBy(*key, "seq").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most")
+    clash = materialize(apart.select(*key).distinct().withColumn("clash", F.lit(True)), "clashes")
 
-    rows = rows.join(clash, key, "left").withColumn("part", F.when(F.col("clash"), F.col("sha")).otherwise(F.lit("")))
-    groups = rows.groupBy(*key, "part").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    rows = rows.join(clash, key, "left").withColumn("part", F.when(F.col("clash"), F.col("sha")).otherwise(F.lit(""))).drop("clash")
+    groups = materialize(rows.groupBy(*key, "part").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "kept")
     rows = rows.join(groups, [*key, "part"])
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
