@@ -30,7 +30,7 @@ from brindle.llm.common import materialize, read_table
 EOS = 2
 CACHE = 48 << 20  # bytes of chunks that a worker remembers
 JOINED = 2048  # bytes of chunks that are encoded as one text
-PARTS = 1024  # a length's pieces are ranked in so many parts
+RANKED = 1 << 10  # pieces of one length, about, that are ranked in one task
 MAX_RUNS = 1_000_000
 
 _SOLID = np.zeros(256, bool)  # bytes that begin a character which is no white space
@@ -275,16 +275,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, wi
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     cut = materialize(rows.mapInArrow(_tokenize(path, capacity, with_ids), schema), "pieces")
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int"))
-    sums = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
+    parts = docs.sparkSession.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()], "length long, parts long")
+    cut = cut.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "parts")).drop("parts")
+    sums = cut.groupBy("length", "part").agg(F.count("*").alias("n"))  # a row for each RANKED pieces, and one a length
+    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = materialize(sums.drop("n"), "bases")
     runs, _ = plan_packing(histogram, capacity)
     if len(runs) > MAX_RUNS:
         raise RuntimeError("the packing plan is larger than it can be")
     plan = docs.sparkSession.createDataFrame(runs, "length long, first_rank long, ranks long, first long, q long, at long")
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = cut.withColumn("own", F.row_number().over(order)).join(sums.drop("n"), ["length", "part"]).withColumn("rank", F.col("base") + F.col("own") - 1)
+    ranked = cut.withColumn("own", F.row_number().over(order)).join(sums, ["length", "part"]).withColumn("rank", F.col("base") + F.col("own") - 1)
     inside = (F.col("c.length") == F.col("p.length")) & (F.col("c.rank") >= F.col("p.first_rank")) & (F.col("c.rank") < F.col("p.first_rank") + F.col("p.ranks"))
     j = F.col("c.rank") - F.col("p.first_rank")
     out = ranked.alias("c").join(F.broadcast(plan).alias("p"), inside)
