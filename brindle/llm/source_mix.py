@@ -1,14 +1,16 @@
 """Operator 3: mixing sources to target weights.
 
 The words of a source, documents in a pseudorandom order, form one stream that is packed into
-blocks of ``block`` words. An output shard has ``slots`` slots; how many of them each source fills is
-one multinomial draw, seeded by the shard. Slot i of a source, counted over all shards, takes the
-block that the pseudorandom permutation of its source and epoch puts at place i: one epoch uses
-each block once. Blocks are then joined by (source, index).
+blocks of ``block`` words (fewer where a source has few). An output shard has ``slots`` slots; how many
+of them each source fills is a multinomial draw under the condition that all shards together give each
+source its quota. Such draws need no state: going down a binary tree over the shards, each node deals
+its counts out to its halves (a multivariate hypergeometric draw, seeded by the node), so a task draws
+the shards of its own range, and knows how many slots of each source stand before them. Slot i of a
+source, counted over all shards, takes the block that the pseudorandom permutation of its source and
+epoch puts at place i: one epoch uses each block once. Blocks are then joined by (source, index).
 
-Draws miss a target by chance; a settling step moves the surplus slots of overdrawn sources (their
-last ones) to underdrawn ones, so every source ends within a block of its target and no block is
-used more than ``most`` times. All draws follow from seeds, so reruns agree.
+Every source ends within a block of its target and no block is used more than ``most`` times. All draws
+follow from seeds, so reruns agree.
 
 Targets: sources by code point, null last, weigh 1, 2, 3, repeating; they share the words of all,
 and no target is above ``most`` times its source's words, the excess shared again by weight.
@@ -25,26 +27,27 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import WORD, materialize, read_table
 
-PARTS = 1024  # a source's stream is summed in so many parts
-MAX_SOURCES = 100_000  # more are refused: sources are planned on the driver and broadcast
+RANKED = 1 << 10  # documents of one source, about, whose words are summed in one task
+FINE = 256  # blocks that a source is cut into at least, if it has the words
+SHARDS = 64  # shards that one task draws and fills
+LARGEST = 10**9  # slots of a tree node that are still dealt out at random; larger nodes halve in proportion
 
 
 def targets(sizes: dict[str | None, int], most: int = 3) -> dict[str | None, float]:
-    """Words that each source should give."""
+    """Words that each source should give.
+
+    Sources are filled to their bound in the order in which a rising level by weight meets the bounds.
+    """
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: i % 3 + 1 for i, s in enumerate(names)}
-    out, open_, left = {}, [s for s in names if sizes[s]], float(sum(sizes.values()))
-    out = {s: 0.0 for s in names}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
-        if not full:
-            out |= {s: left * weight[s] / total for s in open_}
+    out, left, total = {s: 0.0 for s in names}, sum(sizes.values()), sum(weight[s] for s in names if sizes[s])
+    order = sorted((s for s in names if sizes[s]), key=lambda s: sizes[s] / weight[s])
+    for i, s in enumerate(order):
+        if left * weight[s] <= most * sizes[s] * total:  # and so for all after it
+            out |= {r: left * weight[r] / total for r in order[i:]}
             break
-        for s in full:
-            out[s] = float(most * sizes[s])
-            left -= out[s]
-        open_ = [s for s in open_ if s not in full]
+        out[s] = float(most * sizes[s])
+        left, total = left - most * sizes[s], total - weight[s]
     return out
 
 
@@ -72,30 +75,64 @@ def feistel(i: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _draw(names: list[int], share: list[float], slots: int, total: int, seed: int):
+def _halved(counts: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
+    """How many of ``counts`` are among n drawn without putting back."""
+    total = int(counts.sum())
+    if total < LARGEST:
+        return np.random.default_rng(seed).multivariate_hypergeometric(counts, n, method="marginals")
+    exact = [int(c) * n for c in counts.tolist()]
+    out = np.array([x // total for x in exact], np.int64)
+    rest = np.array([x % total for x in exact], float)
+    out[np.argsort(-rest, kind="stable")[: n - int(out.sum())]] += 1
+    return out
+
+
+def shard_counts(quota: np.ndarray, slots: int, low: int, high: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shard, sources, their slots in it, their slots in all shards before) of the shards low .. high - 1."""
+    total = int(quota.sum())
+
+    def deal(a: int, b: int, source: np.ndarray, counts: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
+        some = counts > 0
+        source, counts, before = source[some], counts[some], before[some]
+        if b - a == 1:
+            yield a, source, counts, before
+            return
+        mid = (a + b) // 2
+        left = _halved(counts, min(total, mid * slots) - a * slots, [seed, a, b])
+        if low < mid:
+            yield from deal(a, mid, source, left, before)
+        if high > mid:
+            yield from deal(mid, b, source, counts - left, before + left)
+
+    shards = -(-total // slots)
+    if low < high:
+        for found in deal(0, shards, np.arange(len(quota)), quota, np.zeros(len(quota), np.int64)):
+            if low <= found[0] < high:
+                yield found
+
+
+def _fill(plan, slots: int, seed: int):
+    """Block and epoch of every slot of the shards of a range (low, high)."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        quota, blocks = plan.value
         for frame in frames:
-            for shard in frame["id"]:
-                n = min(slots, total - shard * slots)
-                counts = np.random.default_rng([seed, int(shard)]).multinomial(n, share)
-                yield pd.DataFrame({"shard": shard, "rank": names, "n": counts.astype(np.int64)})
+            for low, high in zip(frame["low"], frame["high"], strict=True):
+                for shard, source, n, before in shard_counts(quota, slots, int(low), int(high), seed):
+                    parts = []
+                    for s, m, first in zip(source.tolist(), n.tolist(), before.tolist(), strict=True):
+                        i = np.arange(first, first + m, dtype=np.int64)
+                        epoch, place = i // blocks[s], i % blocks[s]
+                        block = np.empty(m, np.int64)
+                        for e in np.unique(epoch):
+                            at = epoch == e
+                            block[at] = feistel(place[at], int(blocks[s]), [seed, s, int(e)])
+                        parts.append(pd.DataFrame({"shard": shard, "rank": s, "epoch": epoch, "block": block}))
+                    yield pd.concat(parts)
 
     return run
 
 
-def _fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Block and epoch of every slot of a (shard, source): slots first .. first + n - 1 of the source."""
-    for frame in frames:
-        for r in frame.itertuples(index=False):
-            i = np.arange(r.first, r.first + r.n, dtype=np.int64)
-            epoch, place = i // r.blocks, i % r.blocks
-            block = np.empty(len(i), np.int64)
-            for e in np.unique(epoch):
-                at = epoch == e
-                block[at] = feistel(place[at], r.blocks, [r.seed, r.rank, int(e)])
-            yield pd.DataFrame({"shard": r.shard, "rank": r.rank, "epoch": epoch, "block": block})
-
-
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -104,62 +141,49 @@ def plan_mix(sized: DataFrame, block: int = 128, slots: int = 4096, most: int =
     """(documents, slots, sources) of the mix of ``sized``: any columns with source, size and key.
 
     ``key`` (long) orders a source's documents and should be a hash of what tells rows apart; equal
-    rows may tie, which changes nothing. documents: the input with rank and offset, its first word
-    in its source's stream. slots: (shard, rank, epoch, block), one row per slot. sources: (rank,
-    source, source_size, blocks, target). Sources are planned on the driver, at most MAX_SOURCES of them.
+    rows may tie, which changes nothing. documents: the input with rank, length (of its source's
+    blocks) and offset, its first word in its source's stream. slots: (shard, rank, epoch, block), one
+    row per slot. sources: (rank, source, source_size, blocks, length, target). The driver plans the
+    sources and broadcasts two numbers of each; their number, not that of documents, bounds it.
     """
     spark = sized.sparkSession
-    part = F.pmod(F.col("key"), F.lit(PARTS)).cast("int")
-    sums = materialize(sized.groupBy("source", part.alias("part")).agg(F.sum("size").alias("words")), "mix-sums")
-    sizes = {r["source"]: r["words"] for r in sums.groupBy("source").agg(F.sum("words").alias("words")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    counted = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()  # a row a source
+    sizes = {r["source"]: r["words"] for r in counted}
     want = targets(sizes, most)
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    blocks = [-(-sizes[s] // block) for s in names]
+    length = {s: max(1, min(block, sizes[s] // FINE)) for s in names}
+    blocks = [-(-sizes[s] // length[s]) for s in names]
     # A source gives its mean block, whose last may be short.
     quota = [min(round(want[s] * b / sizes[s]), most * b) if b else 0 for s, b in zip(names, blocks, strict=True)]
-    total = sum(quota)
-    schema = "rank int, source string, source_size long, blocks long, target double"
-    sources = spark.createDataFrame([(i, s, sizes[s], blocks[i], want[s]) for i, s in enumerate(names)], schema)
-
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    same = F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.part") == F.col("p.part"))
-    inner = Window.partitionBy("source", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    docs = sized.withColumn("part", part).withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    docs = docs.alias("s").join(parts.select("source", "part", "base").alias("p"), same).select(*(F.col(f"s.`{c}`") for c in sized.columns), (F.col("base") + F.col("inner")).alias("offset"))
-    docs = docs.alias("d").join(F.broadcast(sources).alias("r"), F.col("d.source").eqNullSafe(F.col("r.source"))).select("d.*", "r.rank")
-
-    empty = spark.createDataFrame([], "shard long, rank int, epoch long, block long")
-    if not total:
-        return docs, empty, sources
-    share = [q / total for q in quota]
-    shards = spark.range(-(-total // slots))
-    drawn = materialize(shards.mapInPandas(_draw(list(range(len(names))), share, slots, total, seed), "shard long, rank int, n long").where("n > 0"), "draws")
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    # A source keeps its first ``quota`` slots; what others gave up fills the sources that lack some, after the last shard's.
-    limits = spark.createDataFrame([(i, q, b) for i, (q, b) in enumerate(zip(quota, blocks, strict=True))], "rank int, quota long, blocks long")
-    kept = drawn.join(F.broadcast(limits), "rank").withColumn("n", F.least("n", F.col("quota") - F.col("first"))).where("n > 0")
-    got = {r["rank"]: r["n"] for r in kept.groupBy("rank").agg(F.sum("n").alias("n")).collect()}
-    last = -(-total // slots)
-    extra = [(last, i, quota[i] - got.get(i, 0), got.get(i, 0), quota[i], blocks[i]) for i in range(len(names)) if quota[i] > got.get(i, 0)]
-    kept = kept.select("shard", "rank", "n", "first", "quota", "blocks")
-    kept = kept.unionByName(spark.createDataFrame(extra, "shard long, rank int, n long, first long, quota long, blocks long"))
-    # No task fills more than a shard's slots at once.
-    steps = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / slots)))
-    kept = kept.withColumn("step", steps).select("shard", "rank", "blocks", (F.col("first") + F.col("step") * slots).alias("first"), F.least(F.lit(slots), F.col("n") - F.col("step") * slots).alias("n"), F.lit(seed).cast("long").alias("seed"))
-    filled = kept.repartition(F.col("shard"), F.col("rank"), F.col("first")).mapInPandas(_fill, "shard long, rank int, epoch long, block long")
+    parts = {r["source"]: -(-r["docs"] // RANKED) for r in counted}
+    schema = "rank int, source string, source_size long, blocks long, length long, target double, parts long"
+    planned = spark.createDataFrame([(i, s, sizes[s], blocks[i], length[s], want[s], parts[s]) for i, s in enumerate(names)], schema)
+    sources = planned.drop("parts")
+
+    ranked = sized.alias("d").join(F.broadcast(planned).alias("r"), F.col("d.source").eqNullSafe(F.col("r.source"))).select("d.*", "r.rank", "r.length", F.pmod("d.key", "r.parts").alias("part"))
+    before = Window.partitionBy("rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranked.groupBy("rank", "part").agg(F.sum("size").alias("words"))  # a row for RANKED documents, or a source
+    bases = materialize(bases.select("rank", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")), "bases")
+    inner = Window.partitionBy("rank", "part").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    docs = ranked.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(bases, ["rank", "part"])
+    docs = docs.select(*(F.col(f"`{c}`") for c in sized.columns), "rank", "length", (F.col("base") + F.col("inner")).alias("offset"))
+
+    shards = -(-sum(quota) // slots)
+    if not shards:
+        return docs, spark.createDataFrame([], "shard long, rank int, epoch long, block long"), sources
+    plan = spark.sparkContext.broadcast((np.array(quota, np.int64), np.array(blocks, np.int64)))
+    tasks = -(-shards // SHARDS)
+    ranges = spark.range(0, tasks, 1, tasks).select((F.col("id") * SHARDS).alias("low"), F.least((F.col("id") + 1) * SHARDS, F.lit(shards)).alias("high"))
+    filled = ranges.mapInPandas(_fill(plan, slots, seed), "shard long, rank int, epoch long, block long")
     return docs, materialize(filled, "slots"), sources
 
 
-def pieces(docs: DataFrame, slots: DataFrame, block: int) -> DataFrame:
+def pieces(docs: DataFrame, slots: DataFrame) -> DataFrame:
     """Documents' pieces with the times their block is taken: the columns of ``docs``, start, words, times."""
     times = slots.groupBy("rank", "block").agg(F.count("*").alias("times"))
-    cut = docs.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("offset") + F.col("size") - 1) / block))))
-    start = F.greatest(F.lit(0), F.col("block") * block - F.col("offset"))
-    end = F.least(F.col("size"), (F.col("block") + 1) * block - F.col("offset"))
+    cut = docs.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("offset") / F.col("length")), F.floor((F.col("offset") + F.col("size") - 1) / F.col("length")))))
+    start = F.greatest(F.lit(0), F.col("block") * F.col("length") - F.col("offset"))
+    end = F.least(F.col("size"), (F.col("block") + 1) * F.col("length") - F.col("offset"))
     cut = cut.withColumn("start", start).withColumn("words", end - F.col("start"))
     return cut.join(times, ["rank", "block"]).drop("block")
 
@@ -175,7 +199,7 @@ def source_mix(docs: DataFrame, block: int = 128, slots: int = 4096, most: int =
     sized = materialize(sized, "sized")
     placed, filled, sources = plan_mix(sized, block, slots, most, seed)
     placed = materialize(placed, "placed")
-    taken = pieces(placed, filled, block).groupBy("rank", "offset", "doc_id", "key").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = pieces(placed, filled).groupBy("rank", "offset", "doc_id", "key").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # Documents with words differ by offset within their source.
     same = (F.col("p.rank") == F.col("t.rank")) & (F.col("p.offset") == F.col("t.offset")) & (F.col("p.size") > 0)
     out = placed.alias("p").join(taken.alias("t"), same, "left").join(F.broadcast(sources).alias("s"), F.col("p.rank") == F.col("s.rank"))
@@ -190,13 +214,15 @@ def mixed_documents(docs: DataFrame, block: int = 128, slots: int = 4096, most:
     are all its blocks. Documents that the mix does not take, and those without words, are not in it.
     """
     names = docs.columns
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")).withColumn("key", F.xxhash64(*(F.col(f"row.`{c}`") for c in names)))
-    sized = materialize(row.select(F.col("row.source").cast("string").alias("source"), word_count(F.col("row.text")).alias("size"), "key"), "sized")
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    every = [F.col(f"row.`{c}`") for c in names]
+    row = row.withColumn("key", F.xxhash64(*every)).withColumn("mark", F.xxhash64(F.lit(1), *every))  # 128 bits tell rows apart
+    sized = materialize(row.select(F.col("row.source").cast("string").alias("source"), word_count(F.col("row.text")).alias("size"), "key", "mark"), "sized")
     placed, filled, _ = plan_mix(sized, block, slots, most, seed)
-    took = pieces(materialize(placed, "placed"), filled, block)
-    took = took.groupBy("key", "rank", "offset").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("words").cast("int").alias("words"), "times"))).alias("took"), F.max("times").alias("most"), F.first("size").alias("size"))
+    took = pieces(materialize(placed, "placed"), filled)
+    took = took.groupBy("key", "mark", "rank", "offset").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("words").cast("int").alias("words"), "times"))).alias("took"), F.max("times").alias("most"), F.first("size").alias("size"))
     # Rows that are equal in all columns have one key: any of them will do for each.
-    rows = row.dropDuplicates(["key"]).join(took, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
+    rows = row.dropDuplicates(["key", "mark"]).join(took, ["key", "mark"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
     rows = rows.withColumn("mine", F.filter("took", lambda p: p.times >= F.col("copy"))).withColumn("n", F.aggregate("mine", F.lit(0), lambda a, p: a + p.words))
     words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("mine", lambda p: F.slice(F.col("all"), p.start + 1, p.words))), " ")
