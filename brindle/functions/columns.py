@@ -28,3 +28,12 @@ def unit_hash(*parts: Column) -> Column:
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+def two_sided_p(z: Column) -> Column:
+    """Probability of a standard normal value at least as far from 0, to 1.5e-7 (Abramowitz and Stegun, 7.1.26)."""
+    x = F.abs(z) / F.lit(2.0**0.5)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.3275911) * x)
+    # Fixed values of the published approximation.
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return poly * F.exp(-x * x)

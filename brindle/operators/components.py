@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.ordered import with_global_index
 from brindle.scratch import drop, materialize
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node on an edge; component is the smallest node id reachable.
 
     Alternating large-star and small-star (Kiveris et al., 2014): each step is one partial
     aggregation and one equi-join on the node, so a hub with many edges is combined before it is
     shuffled and its join partition can be split by AQE. Every round is written to the shared
-    folder. Self loops, repeated and null edges are ignored; no edges give an empty result.
+    folder. Rounds go on until one changes nothing (their number is logarithmic). Self loops, repeated and null edges are ignored; no edges give an empty result.
     """
     e = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     e = materialize(e.where("u > v").distinct(), "edges")
@@ -25,9 +26,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
     before = mark(e)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -42,8 +41,6 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -58,13 +55,13 @@ class ClusterConfig:
 def connected_item_clusters(edges: DataFrame, cfg: ClusterConfig = ClusterConfig()) -> DataFrame:
     """(item_id, cluster_id, cluster_size): components of the thresholded graph of ``min_size`` items or more.
 
-    Ids run from 0 by falling size, then by smallest item. Numbering sorts clusters, not items.
+    Ids run from 0 by falling size, then by smallest item. Numbering sorts clusters, not items, in ranges.
     """
     kept = edges.where((F.col("cosine") >= cfg.min_cosine) & (F.col("cooc_cnt") >= cfg.min_cooc))
     parts = connected_components(kept, "src_item", "dst_item")
     sizes = parts.groupBy("component").agg(F.count("*").alias("cluster_size")).where(F.col("cluster_size") >= cfg.min_size)
-    order = Window.orderBy(F.desc("cluster_size"), "component")
-    sizes = sizes.withColumn("cluster_id", (F.row_number().over(order) - 1).cast("long"))
+    sizes = with_global_index(sizes.withColumn("down", -F.col("cluster_size")), "down", "component", name="at")
+    sizes = sizes.select("component", "cluster_size", (F.col("at") - 1).alias("cluster_id"))
     return parts.join(sizes, "component").select(F.col("node").alias("item_id"), "cluster_id", "cluster_size")
 
 
@@ -73,10 +70,5 @@ def dense_item_clusters(items: DataFrame) -> DataFrame:
 
     Numbers come from counts of id ranges, so no task holds all items.
     """
-    ids = materialize(items.select("item_id").where("item_id is not null").distinct().orderBy("item_id").select("item_id", F.monotonically_increasing_id().alias("place")), "items")
-    part = F.shiftright("place", 33)
-    sizes = ids.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row a partition
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    return ids.withColumn("part", part).join(sizes, "part").select("item_id", (F.col("base") + own).alias("cluster_id"))
+    ids = items.select("item_id").where("item_id is not null").distinct()
+    return with_global_index(ids, "item_id", name="at").select("item_id", (F.col("at") - 1).alias("cluster_id"))

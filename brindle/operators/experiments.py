@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import normal
-from brindle.functions.columns import unit_hash
+from brindle.functions.columns import two_sided_p, unit_hash
 
 
 @dataclass(frozen=True)
@@ -62,12 +62,20 @@ def arm_stats(rows: DataFrame) -> DataFrame:
 
 
 def tests_vs_control(stats: DataFrame) -> DataFrame:
-    """(variant, effect, se, z, lift) of each arm against control; z and lift null where they have no meaning."""
+    """(variant, effect, se, z, p_value, lift) of each arm against control; z, p_value and lift null where they have no meaning."""
     c = stats.where("variant = 'control'").select(F.col("n").alias("nc"), F.col("mean_y").alias("mc"), F.col("var_y").alias("vc"))
     se = F.sqrt(F.col("var_y") / F.col("n") + F.col("vc") / F.col("nc"))
     rows = stats.where("variant <> 'control'").crossJoin(F.broadcast(c))  # one row
     rows = rows.withColumn("effect", F.col("mean_y") - F.col("mc")).withColumn("se", se)
-    return rows.select("variant", "effect", "se", (F.col("effect") / F.nullif("se", F.lit(0.0))).alias("z"), (F.col("effect") / F.nullif("mc", F.lit(0.0))).alias("lift"))
+    rows = rows.withColumn("z", F.col("effect") / F.nullif("se", F.lit(0.0)))
+    return rows.select("variant", "effect", "se", "z", two_sided_p(F.col("z")).alias("p_value"), (F.col("effect") / F.nullif("mc", F.lit(0.0))).alias("lift"))
+
+
+def sample_size(baseline: DataFrame, cfg: ExperimentConfig = ExperimentConfig()) -> DataFrame:
+    """(n_per_arm) for one row of mean and std, as :func:`required_sample_size`; null where there is nothing to see."""
+    z = normal.quantile(1 - cfg.alpha / (2 if cfg.two_sided else 1)) + normal.quantile(cfg.power)
+    need = F.ceil(F.lit(2.0) * F.pow(F.lit(z) * F.col("std") / (F.col("mean") * F.lit(cfg.mde)), F.lit(2.0)))
+    return baseline.select(F.when((F.col("mean") > 0) & (F.col("std") > 0), need).cast("long").alias("n_per_arm"))
 
 
 def ztest(mean_x: float, var_x: float, n_x: int, mean_y: float, var_y: float, n_y: int) -> dict:

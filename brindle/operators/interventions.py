@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions.columns import clamp
-from brindle.operators.splits import with_global_index
+from brindle.operators.ordered import quantiles, with_global_index
 
 
 @dataclass(frozen=True)
@@ -38,11 +38,10 @@ def initial_policy(risk: DataFrame, cfg: InterventionConfig = InterventionConfig
 
     Places within an action come from one global order, so a large action is not one task's.
     """
-    cuts = risk.agg(F.percentile("ltv_usd", F.lit(cfg.ltv_high)).alias("q_high"), F.percentile("ltv_usd", F.lit(cfg.ltv_mid)).alias("q_mid"))
+    cuts = quantiles(risk, {"high": ("ltv_usd", cfg.ltv_high), "mid": ("ltv_usd", cfg.ltv_mid)})
     p, ltv = F.col("p_churn"), F.col("ltv_usd")
-    rows = risk.crossJoin(F.broadcast(cuts))  # one row
-    rows = rows.withColumn("risk_tier", F.when(p >= cfg.risk_high, "high").when(p >= cfg.risk_mid, "mid").otherwise("low"))
-    rows = rows.withColumn("ltv_tier", F.when(ltv >= F.col("q_high"), "high").when(ltv >= F.col("q_mid"), "mid").otherwise("low")).drop("q_high", "q_mid")
+    rows = risk.withColumn("risk_tier", F.when(p >= cfg.risk_high, "high").when(p >= cfg.risk_mid, "mid").otherwise("low"))
+    rows = rows.withColumn("ltv_tier", F.when(ltv >= F.lit(cuts["high"]), "high").when(ltv >= F.lit(cuts["mid"]), "mid").otherwise("low"))
     high = F.col("risk_tier") == "high"
     action = F.when(high & (F.col("ltv_tier") == "high"), "discount_2mo").when(high, "content_boost").when(F.col("risk_tier") == "mid", "email_nudge").otherwise("none")
     rows = rows.withColumn("intervention", action).withColumns({"__r": -F.col("revenue_at_risk_usd"), "__p": -p})
@@ -86,8 +85,3 @@ def intervention_summary(rows: DataFrame) -> DataFrame:
         F.avg(F.col("risk_reduction_usd").cast("double")).alias("avg_risk_reduction_usd"), F.avg(F.col("net_value_usd").cast("double")).alias("avg_net_value_usd"),
     )
 
-
-def rank_within_action(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``place`` by risk within the action, for reports on one action's users."""
-    order = Window.partitionBy("intervention").orderBy(F.desc("revenue_at_risk_usd"), F.desc("p_churn"), "user_id")
-    return rows.withColumn("place", F.row_number().over(order))

@@ -74,6 +74,8 @@ def recommend(train: DataFrame, val: DataFrame, graph: DataFrame | None, cfg: Ra
     users = eligible_users(train, val, history)
     top = popularity_fallback(pop, cfg).select("item_id", F.col("popularity").alias("score"))
     few = users.where(F.col("n_hist") < cfg.min_history) if graph is not None else users
+    if not cfg.exclude_seen:
+        top = top.orderBy(F.desc("score"), "item_id").limit(cfg.k)  # nothing is left out, so the first k are each user's
     rows = few.select("user_id").crossJoin(F.broadcast(top))  # at most cfg.candidates rows
     seen = train.select("user_id", "item_id").distinct() if cfg.exclude_seen else None
     if seen is not None:

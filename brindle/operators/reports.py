@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators.ordered import quantiles
+
 
 def monthly_split_counts(labeled: DataFrame) -> DataFrame:
     return labeled.groupBy(F.date_trunc("month", "ts").cast("date").alias("month"), "split").agg(F.count("*").alias("n"))
@@ -33,8 +35,20 @@ def cluster_sizes(clusters: DataFrame, top: int = 30) -> DataFrame:
 
 def risk_quadrants(risk: DataFrame) -> DataFrame:
     """One row: the medians that cut the quadrants of probability against value, and the 90 % quantile of risk."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return risk.agg(q("p_churn", 0.5).alias("p_median"), q("ltv_usd", 0.5).alias("ltv_median"), q("revenue_at_risk_usd", 0.9).alias("risk_q90"))
+    q = quantiles(risk, {"p_median": ("p_churn", 0.5), "ltv_median": ("ltv_usd", 0.5), "risk_q90": ("revenue_at_risk_usd", 0.9)})
+    return risk.sparkSession.createDataFrame([tuple(q.values())], ", ".join(f"{k} double" for k in q))
+
+
+def cosine_against_cooccurrence(edges: DataFrame, bins: int = 20) -> DataFrame:
+    """(cooc_cnt, bin, n): edges by co-occurrence and by cosine in equal bins of [0, 1], the last closed."""
+    at = F.least(F.lit(bins - 1).cast("long"), F.floor(F.col("cosine") * bins)).cast("int")
+    return edges.groupBy("cooc_cnt", at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def arm_bars(stats: DataFrame, z: float = 1.959963984540054) -> DataFrame:
+    """(variant, n, mean_y, lo, hi) of :func:`experiments.arm_stats`: means with their 95 % intervals."""
+    half = F.lit(z) * F.sqrt(F.col("var_y") / F.col("n"))
+    return stats.select("variant", "n", "mean_y", (F.col("mean_y") - half).alias("lo"), (F.col("mean_y") + half).alias("hi"))
 
 
 def plot_sample(df: DataFrame, key: str, n: int) -> DataFrame:

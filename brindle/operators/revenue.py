@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.columns import clamp
 from brindle.operators.churn import inactivity
-from brindle.operators.splits import with_global_index
+from brindle.operators.ordered import with_global_index
 from brindle.schema import CHURN_COLUMNS, first_present
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators.ordered import with_global_index
+
 ORDER = ("ts", "item_id", "rating")
 
 
@@ -43,23 +44,6 @@ def split_per_user(interactions: DataFrame, cfg: SplitConfig = SplitConfig()) ->
     return ranked.withColumn("split", label).drop("__n", "__at")
 
 
-def with_global_index(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
-    """``df`` with its rows' places (from 1) in the total order, without bringing them to one task.
-
-    A range-partitioned sort is kept, its partitions counted, and each row's place in its partition
-    added to the rows before it. The table of counts has a row a partition.
-    """
-    low = F.monotonically_increasing_id()
-    kept = df.orderBy(*order).withColumn("__place", low).persist(StorageLevel.DISK_ONLY)
-    part = F.shiftright("__place", 33)
-    sizes = kept.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    own = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    out = kept.withColumn("__part", part).join(F.broadcast(sizes), "__part")
-    return out.withColumn(name, F.col("__base") + own).drop("__part", "__base", "__place")
-
-
 def split_global(interactions: DataFrame, cfg: SplitConfig = SplitConfig()) -> DataFrame:
     """The input with ``split``: cuts at two places of the order (ts, user, item, rating) over all rows."""
     placed = with_global_index(interactions, "ts", "user_id", "item_id", "rating", name="__at")
@@ -100,3 +84,9 @@ def validate_per_user_order(labeled: DataFrame) -> None:
 
 def splits(labeled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(labeled.where(F.col("split") == s).drop("split") for s in ("train", "val", "test"))
+
+
+def overlaps(labeled: DataFrame) -> DataFrame:
+    """(user_id, item_id, rating, ts, n_splits) of rows that stand in more than one split: none, where rows do not repeat."""
+    g = labeled.groupBy("user_id", "item_id", "rating", "ts").agg(F.countDistinct("split").alias("n_splits"))
+    return g.where("n_splits > 1")

@@ -6,6 +6,7 @@ rounded on both sides, as engines sum in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,9 @@ from pyspark.sql import functions as F
 from brindle.functions.columns import epoch_micros
 from brindle.operators import churn, components, experiments, features, graph, interventions, metrics, ranking, reports, revenue, splits
 from brindle.plans import oracles as q
-from brindle.schema import validation_counts
+from brindle.schema import INTERACTIONS, canonicalize, validation_counts
+from brindle.scratch import materialize, shared_dir
+from brindle.sources import io
 from brindle.sources.adapters import clicks, retail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +48,8 @@ def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train_val(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    train, val, _ = splits.splits(labeled(spark, sf_dir))
+    """Train and val of labels that are written once: the queries read them several times."""
+    train, val, _ = splits.splits(materialize(labeled(spark, sf_dir), "labeled"))
     return train, val
 
 
@@ -174,18 +178,24 @@ def item_cosine_by_interactions(spark, sf_dir):
     return rounded(graph.item_edges(train_val(spark, sf_dir)[0], graph.GraphConfig(min_support=20, min_cooc=2, min_cosine=0.05, norm="interactions")))
 
 
-def item_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.build_graph(train_val(spark, sf_dir)[0], GRAPH, auto_tune=False)
+def item_graph(train: DataFrame) -> DataFrame:
+    return graph.build_graph(train, GRAPH, auto_tune=False)
+
+
+def ranking_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Train, val and the graph, each written once."""
+    train, val = train_val(spark, sf_dir)
+    return train, val, materialize(item_graph(train), "graph")
 
 
 @register(q.query("SELECT src_item, dst_item, round(cosine, 6) AS cosine, cooc_cnt, src_cnt, dst_cnt, rk FROM graph", *BY_USERS))
 def graph_topk_neighbors(spark, sf_dir):
-    return rounded(item_graph(spark, sf_dir))
+    return rounded(item_graph(train_val(spark, sf_dir)[0]))
 
 
 @register(q.query("SELECT degree, count(*) AS n FROM (SELECT src_item, count(*) AS degree FROM graph GROUP BY 1) GROUP BY 1", *BY_USERS))
 def graph_degree_histogram(spark, sf_dir):
-    return reports.degree_counts(item_graph(spark, sf_dir))
+    return reports.degree_counts(item_graph(train_val(spark, sf_dir)[0]))
 
 
 @register(q.query("SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS cluster_id FROM (SELECT DISTINCT item_id FROM train)", *ALL))
@@ -240,19 +250,24 @@ def popularity_fallback(spark, sf_dir):
 
 @register(q.query("SELECT user_id, count(*) AS n, round(sum(mass), 6) AS mass FROM unseen GROUP BY 1", *RANK))
 def unseen_candidates(spark, sf_dir):
-    history = ranking.user_history(train_val(spark, sf_dir)[0])
-    rows = ranking.unseen_candidates(history, item_graph(spark, sf_dir))
+    train, _, items = ranking_inputs(spark, sf_dir)
+    rows = ranking.unseen_candidates(ranking.user_history(train), items)
     return rounded(rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("mass").alias("mass")))
 
 
 @register(q.query("SELECT user_id, item_id, round(score, 6) AS score FROM candidates", *RANK))
 def graph_candidates(spark, sf_dir):
-    train, _ = train_val(spark, sf_dir)
-    return rounded(ranking.graph_candidates(ranking.user_history(train), item_graph(spark, sf_dir), ranking.popularity(train)))
+    train, _, items = ranking_inputs(spark, sf_dir)
+    return rounded(ranking.graph_candidates(ranking.user_history(train), items, ranking.popularity(train)))
 
 
 def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.recommend(*train_val(spark, sf_dir), item_graph(spark, sf_dir))
+    return ranking.recommend(*ranking_inputs(spark, sf_dir))
+
+
+def evaluated(spark: SparkSession, sf_dir: str, fixed_k: bool = False) -> DataFrame:
+    train, val, items = ranking_inputs(spark, sf_dir)
+    return rounded(metrics.evaluate_topk(materialize(ranking.recommend(train, val, items), "topk"), val, fixed_k=fixed_k))
 
 
 @register(q.query("SELECT user_id, item_id, round(score, 6) AS score, rank FROM topk", *RANK))
@@ -271,12 +286,12 @@ def _metrics_sql(denominator: str) -> str:
 
 @register(_metrics_sql("n"))
 def ranking_metrics_returned(spark, sf_dir):
-    return rounded(metrics.evaluate_topk(topk(spark, sf_dir), train_val(spark, sf_dir)[1]))
+    return evaluated(spark, sf_dir)
 
 
 @register(_metrics_sql("k"))
 def ranking_metrics_fixed_k(spark, sf_dir):
-    return rounded(metrics.evaluate_topk(topk(spark, sf_dir), train_val(spark, sf_dir)[1], fixed_k=True))
+    return evaluated(spark, sf_dir, fixed_k=True)
 
 
 @register(q.query("SELECT count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items FROM topk", *RANK))
@@ -300,18 +315,35 @@ def churn_scores(spark, sf_dir):
     return churn.train_and_score(features.user_features(train), churn.two_class_labels(train))[0]
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+MATRIX = ("n_interactions", "rating_mean", "rating_std", "span_days", "median_gap_days")
+_Z = ", ".join(f"round(({c} - avg({c}) FILTER (WHERE part = 'train') OVER ()) / coalesce(nullif(stddev_pop({c}) FILTER (WHERE part = 'train') OVER (), 0), 1), 6) AS {c}" for c in MATRIX)
+
+
+@register(q.query(f"""SELECT user_id, label, part, {_Z} FROM (
+  SELECT f.*, CASE WHEN row_number() OVER (ORDER BY f.user_id) <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'val' END AS part, CAST(inactivity_days >= 90 AS INTEGER) AS label
+  FROM ({USER_SELECT}) f JOIN inactive i ON i.user_id = f.user_id)""", *ALL, USER_FEATURES, q.INACTIVE))
+def churn_matrix(spark, sf_dir):
+    """What the churn model is fitted on: labels, the cut by user, imputed and scaled features."""
+    train, _ = train_val(spark, sf_dir)
+    rows = rounded(features.user_features(train)).select("user_id", *MATRIX)
+    return rounded(churn.churn_matrix(rows, churn.churn_labels(retail(spark, sf_dir)))[0])
+
+
+def scores(interactions: DataFrame) -> DataFrame:
     """A churn probability that SQL can state."""
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("inactivity_days") - 60) / 45))
-    return churn.inactivity(retail(spark, sf_dir)).select("user_id", F.round(p, 6).alias("p_churn"))
+    return churn.inactivity(interactions).select("user_id", F.round(p, 6).alias("p_churn"))
 
 
 @register(q.query("""SELECT count(*) AS n_users, round(avg(y), 6) AS churn_rate, round((SELECT sum(w) FROM (SELECT p_churn, sum(y) OVER (ORDER BY p_churn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS p,
-    y * ((SELECT count(*) FROM s z WHERE z.y = 0 AND z.p_churn < s.p_churn) + 0.5 * (SELECT count(*) FROM s z WHERE z.y = 0 AND z.p_churn = s.p_churn)) AS w FROM s)) / (sum(y) * (count(*) - sum(y))), 6) AS roc_auc FROM s""",
-    q.RETAIL, q.RISK, "s AS (SELECT p_churn, n_interactions % 2 AS y FROM risk)"))
+    y * ((SELECT count(*) FROM s z WHERE z.y = 0 AND z.p_churn < s.p_churn) + 0.5 * (SELECT count(*) FROM s z WHERE z.y = 0 AND z.p_churn = s.p_churn)) AS w FROM s)) / (sum(y) * (count(*) - sum(y))), 6) AS roc_auc,
+    round((SELECT sum((r - r0) * (c + c0) / 2) FROM (SELECT r, c, lag(r, 1, 0) OVER w AS r0, lag(c, 1, 1) OVER w AS c0 FROM curve WINDOW w AS (ORDER BY p_churn DESC))), 6) AS pr_auc FROM s""",
+    q.RETAIL, q.RISK, "s AS (SELECT p_churn, n_interactions % 2 AS y FROM risk)",
+    """curve AS (SELECT p_churn, CAST(sum(ones) OVER d AS DOUBLE) / sum(ones) OVER () AS r, CAST(sum(ones) OVER d AS DOUBLE) / sum(n) OVER d AS c
+       FROM (SELECT p_churn, sum(y) AS ones, count(*) AS n FROM s GROUP BY 1) WINDOW d AS (ORDER BY p_churn DESC ROWS UNBOUNDED PRECEDING))"""))
 def churn_auc(spark, sf_dir):
     odd = risk(spark, sf_dir).select("p_churn", (F.col("n_interactions") % 2).alias("y"))
-    return rounded(churn.auc(odd, "p_churn", "y").drop("pr_auc"))
+    return rounded(churn.auc(odd, "p_churn", "y"))
 
 
 LTV_SELECT = "SELECT user_id, n_interactions, n_distinct_items, round(recency_days, 6) AS recency_days, expected_months, round(ltv_usd, 6) AS ltv_usd FROM ltv"
@@ -328,7 +360,9 @@ def user_ltv_events(spark, sf_dir):
 
 
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revenue.revenue_risk(scores(spark, sf_dir), revenue.user_ltv(retail(spark, sf_dir)))
+    """Written once, as are the interactions behind it: scores and values both read those."""
+    rows = materialize(retail(spark, sf_dir), "interactions")
+    return materialize(revenue.revenue_risk(scores(rows), revenue.user_ltv(rows)), "risk")
 
 
 R = "user_id, round(p_churn, 6) AS p_churn, round(ltv_usd, 6) AS ltv_usd, round(revenue_at_risk_usd, 6) AS revenue_at_risk_usd, expected_months, n_interactions, n_distinct_items, round(recency_days, 6) AS recency_days, risk_bucket"
@@ -413,8 +447,9 @@ stats AS (SELECT variant, count(*) AS n, avg(y) AS mean_y, var_samp(y) AS var_y,
 
 
 def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rows, written."""
     base = risk(spark, sf_dir)
-    return experiments.arm_stats(experiments.observed(experiments.outcomes(base, interventions.simulate_interventions(base, POLICY))))
+    return materialize(experiments.arm_stats(experiments.observed(experiments.outcomes(base, interventions.simulate_interventions(base, POLICY)))), "arms")
 
 
 @register(q.query("SELECT variant, n, round(mean_y, 3) AS mean_y, round(var_y, 3) AS var_y, round(cost_usd, 3) AS cost_usd, round(net_value_usd, 3) AS net_value_usd FROM stats", *ARMS))
@@ -422,11 +457,33 @@ def ab_arm_stats(spark, sf_dir):
     return rounded(arms(spark, sf_dir), 3)
 
 
-@register(q.query("SELECT s.variant, round(s.mean_y - c.mean_y, 3) AS effect, round(sqrt(s.var_y / s.n + c.var_y / c.n), 3) AS se, round((s.mean_y - c.mean_y) / sqrt(s.var_y / s.n + c.var_y / c.n), 3) AS z, round((s.mean_y - c.mean_y) / c.mean_y, 3) AS lift FROM stats s, stats c WHERE c.variant = 'control' AND s.variant <> 'control'", *ARMS))
+@register(q.query("""SELECT s.variant, round(s.mean_y - c.mean_y, 3) AS effect, round(sqrt(s.var_y / s.n + c.var_y / c.n), 3) AS se, round((s.mean_y - c.mean_y) / sqrt(s.var_y / s.n + c.var_y / c.n), 3) AS z, round(t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x), 3) AS p_value, round((s.mean_y - c.mean_y) / c.mean_y, 3) AS lift
+  FROM stats s, stats c, LATERAL (SELECT abs((s.mean_y - c.mean_y) / sqrt(s.var_y / s.n + c.var_y / c.n)) / sqrt(2.0::DOUBLE) AS x), LATERAL (SELECT 1 / (1 + 0.3275911 * x) AS t) WHERE c.variant = 'control' AND s.variant <> 'control'""", *ARMS))
 def ab_ztest(spark, sf_dir):
     return rounded(experiments.tests_vs_control(arms(spark, sf_dir)), 3)
 
 
+@register(q.query("SELECT variant, n, round(mean_y, 3) AS mean_y, round(mean_y - 1.959963984540054 * sqrt(var_y / n), 3) AS lo, round(mean_y + 1.959963984540054 * sqrt(var_y / n), 3) AS hi FROM stats", *ARMS))
+def ab_arm_bars(spark, sf_dir):
+    return rounded(reports.arm_bars(arms(spark, sf_dir)), 3)
+
+
+# The SQL's numbers are the normal quantiles of 0.975 and 0.8.
+@register(q.query("SELECT CAST(ceil(2 * pow((1.959963984540054 + 0.8416212335729143) * stddev_samp(revenue_at_risk_usd) / (avg(revenue_at_risk_usd) * 0.03), 2)) AS BIGINT) AS n_per_arm FROM risk", q.RETAIL, q.RISK))
+def ab_sample_size(spark, sf_dir):
+    return experiments.sample_size(risk(spark, sf_dir).agg(F.avg("revenue_at_risk_usd").alias("mean"), F.stddev_samp("revenue_at_risk_usd").alias("std")))
+
+
+@register(q.query("""SELECT s.variant, s.n, round(s.net_value_usd, 3) AS net_value_usd, round(s.mean_y - c.mean_y, 3) AS effect FROM stats s LEFT JOIN stats c ON c.variant = 'control' AND s.variant <> 'control'
+  UNION ALL SELECT 'all', count(*), NULL, NULL FROM risk""", *ARMS))
+def ab_report(spark, sf_dir):
+    """The three-arm report as rows: an arm's users, value and effect, and all users."""
+    base = risk(spark, sf_dir)
+    r = experiments.experiment_report(base, interventions.simulate_interventions(base, POLICY))
+    rows = [(a, n, round(r["arm_net_value"][a], 3), round(r["tests_vs_control"][a]["effect"], 3) if a in r["tests_vs_control"] else None) for a, n in r["counts"].items()]
+    return spark.createDataFrame([*rows, ("all", r["n_total"], None, None)], "variant string, n long, net_value_usd double, effect double")
+
+
 @register(q.query("SELECT CAST(date_trunc('month', ts) AS DATE) AS month, split, count(*) AS n FROM labeled GROUP BY 1, 2", *ALL))
 def monthly_split_counts(spark, sf_dir):
     return reports.monthly_split_counts(labeled(spark, sf_dir))
@@ -448,3 +505,100 @@ def run_summary(spark, sf_dir):
 @register(q.query("SELECT user_id, CAST(count(DISTINCT item_id) AS BIGINT) AS n_items, max(epoch_us(ts)) AS last_us FROM inter GROUP BY 1", q.CLICKS))
 def interactions_events(spark, sf_dir):
     return clicks(spark, sf_dir).groupBy("user_id").agg(F.countDistinct("item_id").alias("n_items"), F.max(epoch_micros(F.col("ts"))).alias("last_us"))
+
+
+# Sources and sinks: written to the shared folder, read back, and held against the rows that went in.
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@register(q.query("SELECT user_id, item_id, rating, date_trunc('second', ts) AS ts FROM inter", q.RETAIL))
+def csv_ingest(spark, sf_dir):
+    """Raw ratings written as CSV shards, read with their schema and brought to interactions."""
+    path = _folder(spark, "ratings")
+    io.write_ratings_csv(retail(spark, sf_dir), path)
+    return io.read_ratings_csv(spark, path)
+
+
+@register(q.query("SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, CAST(1 AS BIGINT) AS n_files FROM inter", q.CLICKS))
+def compacted_sink(spark, sf_dir):
+    """Shards replaced by one file; a second write leaves nothing of the first."""
+    path = _folder(spark, "compacted")
+    rows = clicks(spark, sf_dir)
+    io.write_parquet(rows, path, files=4)
+    io.write_parquet(rows, path, files=1)
+    back = io.read_parquet(spark, path, "user_id")
+    return back.agg(F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_users")).withColumn("n_files", F.lit(len(back.inputFiles())).cast("long"))
+
+
+@register(q.query("SELECT split, count(*) AS n, sum(item_id) AS items, (SELECT count(*) FROM labeled) AS n_total FROM labeled GROUP BY 1", *ALL))
+def split_sink(spark, sf_dir):
+    """The labeled table by split, with its metadata beside it, read back."""
+    path = _folder(spark, "splits")
+    rows = labeled(spark, sf_dir)
+    io.write_splits(rows, path, splits.split_metadata(rows).first().asDict())
+    total = io.read_json(spark, f"{path}.metadata.json")["n_total"]
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum("item_id").alias("items")).withColumn("n_total", F.lit(total).cast("long"))
+
+
+@register(q.query("SELECT user_id, item_id, rating, ts, CAST(0 AS BIGINT) AS n_unordered FROM labeled WHERE split = 'val'", *ALL))
+def ordered_sink(spark, sf_dir):
+    """Rows written in the order of user and item; ``n_unordered`` counts neighbours of a file that are not."""
+    path = _folder(spark, "ordered")
+    io.write_parquet(train_val(spark, sf_dir)[1], path, order_by=("user_id", "item_id"), files=1)
+    back = spark.read.parquet(path)
+    key = F.struct("user_id", "item_id")
+    at = back.select(F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("i"), key.alias("key"))
+    after = at.select("file", (F.col("i") - 1).alias("i"), F.col("key").alias("then"))
+    wrong = at.join(after, ["file", "i"]).where("then < key").count()
+    return back.withColumn("n_unordered", F.lit(wrong).cast("long"))
+
+
+@register(q.query("SELECT count(*) AS n_there, CAST(0 AS BIGINT) AS n_missing FROM inter", q.CLICKS))
+def optional_source(spark, sf_dir):
+    """A table that is there, and one that is not: an empty relation of the same schema stands in."""
+    path = _folder(spark, "optional")
+    io.write_parquet(clicks(spark, sf_dir), path)
+    count = lambda p: io.read_optional(spark, p, INTERACTIONS).agg(F.count("*").alias("n"))
+    return count(path).withColumnRenamed("n", "n_there").crossJoin(count(f"{path}-none").withColumnRenamed("n", "n_missing"))  # one row each
+
+
+@register("SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS item_id, value AS rating, CAST(to_timestamp(floor(epoch(ts))) AT TIME ZONE 'UTC' AS TIMESTAMP) AS ts FROM events")
+def canonical_interactions(spark, sf_dir):
+    """Narrow integers, single precision and epoch seconds brought to the canonical types."""
+    rows = clicks(spark, sf_dir)
+    raw = rows.select(F.col("user_id").cast("int"), F.col("item_id").cast("string"), "rating", F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"))
+    return canonicalize(raw)
+
+
+@register(q.query("SELECT DISTINCT user_id, item_id, rating, ts, count(DISTINCT split) OVER (PARTITION BY user_id, item_id, rating, ts) AS n_splits FROM labeled QUALIFY n_splits > 1", q.RETAIL, SHUFFLED))
+def split_overlaps(spark, sf_dir):
+    return splits.overlaps(shuffled_labels(spark, sf_dir))
+
+
+@register(q.query("SELECT (SELECT count(*) FROM (SELECT user_id, item_id, rating, ts FROM labeled GROUP BY ALL HAVING count(DISTINCT split) > 1)) AS n_rows", *ALL))
+def split_overlap_count(spark, sf_dir):
+    return splits.overlaps(labeled(spark, sf_dir)).agg(F.count("*").alias("n_rows"))
+
+
+@register(q.query("SELECT src_item, dst_item, round(cosine, 6) AS cosine, cooc_cnt, src_cnt, dst_cnt, rk FROM graph", q.RETAIL, "train AS (SELECT * FROM inter WHERE user_id <= 40)",
+    "n_items AS (SELECT count(DISTINCT item_id) AS k FROM train)", q.graph_steps(support=1, cooc=1, cosine=0.0, topk=100).replace("n BETWEEN 2 AND 300", "n BETWEEN 1 AND 300").replace("rk <= 100", "rk <= greatest(1, least(100, (SELECT k FROM n_items) - 1))")))
+def graph_auto_tuned(spark, sf_dir):
+    """Forty users are a tiny table: thresholds relax."""
+    train = materialize(retail(spark, sf_dir).where("user_id <= 40"), "tiny")
+    return rounded(graph.build_graph(train, graph.GraphConfig(), auto_tune=True))
+
+
+@register(q.query("SELECT cooc_cnt, CAST(least(19, floor(cosine * 20)) AS INTEGER) AS bin, count(*) AS n FROM edges GROUP BY 1, 2", *BY_USERS))
+def cosine_against_cooccurrence(spark, sf_dir):
+    return reports.cosine_against_cooccurrence(graph.item_edges(train_val(spark, sf_dir)[0], GRAPH))
+
+
+@register(q.query("SELECT count(*) AS n, CAST(count(*) AS BIGINT) AS n_known FROM (SELECT DISTINCT user_id FROM risk LIMIT 500)", q.RETAIL, q.RISK))
+def plot_sample(spark, sf_dir):
+    """Five hundred users for a scatter plot, the same every time; ``n_known`` of them are users, each once."""
+    base = risk(spark, sf_dir)
+    some = reports.plot_sample(base, "user_id", 500).select("user_id")
+    return some.agg(F.count("*").alias("n")).crossJoin(base.join(some.distinct(), "user_id", "left_semi").agg(F.count("*").alias("n_known")))  # one row each

@@ -5,21 +5,38 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _folders: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a private folder only where none is named (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a private folder only where none is named and all runs in one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if app not in _folders:
+        if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = (base or f"file://{tempfile.mkdtemp(prefix='brindle-')}").rstrip("/")
         _folders[app] = f"{root}/brindle-{uuid.uuid4().hex}"
         atexit.register(remove, spark, _folders[app])
-    return _folders[app]
+    return f"{_folders[app]}/{_scopes[-1]}" if _scopes else _folders[app]
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made inside go when it ends: write out what they serve before."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    folder = shared_dir(spark)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        remove(spark, folder)
 
 
 def remove(spark: SparkSession, folder: str) -> None:

@@ -19,16 +19,14 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def toy(spark):
-    """Ten interactions of three users."""
-    rows = [
-        (1, 10, 4.0, "2020-01-01"), (1, 11, 5.0, "2020-01-02"), (1, 12, 3.0, "2020-01-03"), (2, 10, 4.5, "2020-01-01"), (2, 13, 2.0, "2020-01-02"),
-        (2, 15, 3.5, "2020-01-03"), (2, 16, 4.0, "2020-01-04"), (3, 11, 4.0, "2020-01-02"), (3, 12, 5.0, "2020-01-05"), (3, 14, 4.0, "2020-01-06"),
-    ]
-    return spark.createDataFrame([(u, i, r, datetime.fromisoformat(t)) for u, i, r, t in rows], "user_id long, item_id long, rating double, ts timestamp_ntz").cache()
+    """Eleven interactions of three users with six items, in eleven days."""
+    days = {11: [(301, 2.0, 1), (302, 4.0, 3), (303, 4.5, 4), (304, 3.5, 8)], 12: [(301, 5.0, 2), (303, 4.0, 2), (305, 1.0, 5)], 13: [(302, 4.5, 1), (303, 3.0, 6), (306, 5.0, 10), (301, 4.0, 11)]}
+    rows = [(u, i, r, datetime(2021, 3, d)) for u, own in days.items() for i, r, d in own]
+    return spark.createDataFrame(rows, "user_id long, item_id long, rating double, ts timestamp_ntz").cache()
 
 
 @pytest.fixture(scope="session")
 def two_users(spark):
-    """Ten daily rows of user 1 and four of user 2."""
-    rows = [(1, i, 4.0, datetime(2020, 1, 1 + i)) for i in range(10)] + [(2, 100 + i, 3.0, datetime(2021, 1, 1 + i)) for i in range(4)]
+    """A user with a row a day for twelve days, and one with three rows in a later year."""
+    rows = [(21, 7 * i, 1.0 + i % 4, datetime(2019, 5, 1 + i)) for i in range(12)] + [(22, 900 - i, 2.5, datetime(2022, 2, 3 + 2 * i)) for i in range(3)]
     return spark.createDataFrame(rows, "user_id long, item_id long, rating double, ts timestamp_ntz").cache()

@@ -4,7 +4,7 @@ from datetime import datetime
 import pytest
 
 from brindle.functions import normal
-from brindle.operators import churn, components, experiments, features, graph, interventions, metrics, ranking, reports, revenue
+from brindle.operators import churn, components, experiments, features, graph, interventions, metrics, ordered, ranking, reports, revenue
 
 
 def by(df, *keys):
@@ -13,10 +13,12 @@ def by(df, *keys):
 
 def test_user_features(toy):
     f = by(features.user_features(toy), "user_id")
-    u = f[2]
-    assert (u["n_interactions"], u["n_items"], u["rating_mean"], u["active_days"], u["span_days"], u["days_since_last"]) == (4, 4, 3.5, 4, 3.0, 2.0)
-    assert u["avg_gap_days"] == u["median_gap_days"] == 1.0 and u["n_last_7d"] == 4
-    assert f[3]["median_gap_days"] == 2.0 and math.isclose(f[1]["rating_std"], 1.0)
+    u = f[11]
+    assert (u["n_interactions"], u["n_items"], u["rating_mean"], u["active_days"], u["span_days"], u["days_since_last"]) == (4, 4, 3.5, 4, 7.0, 3.0)
+    assert math.isclose(u["avg_gap_days"], 7 / 3) and u["median_gap_days"] == 2.0 and u["n_last_7d"] == 2
+    assert f[12]["active_days"] == 2 and f[12]["median_gap_days"] == 1.5 and math.isclose(f[12]["rating_std"], math.sqrt(13 / 3))
+    again = by(features.user_features(toy.unionByName(toy)), "user_id")
+    assert (again[12]["n_interactions"], again[12]["n_items"], again[12]["active_days"]) == (6, 3, 2)
 
 
 def test_single_row_user(spark):
@@ -28,16 +30,16 @@ def test_single_row_user(spark):
 
 def test_item_and_interaction_features(toy):
     i = by(features.item_features(toy), "item_id")
-    assert (i[10]["n_users"], i[10]["rating_mean"], i[10]["days_since_last"], i[10]["n_last_7d"], i[10]["recent_share_30d"]) == (2, 4.25, 5.0, 2, 1.0)
+    assert (i[302]["n_users"], i[302]["rating_mean"], i[302]["days_since_last"], i[302]["n_last_7d"], i[302]["recent_share_30d"]) == (2, 4.25, 8.0, 0, 1.0)
     x = by(features.interaction_features(toy), "user_id", "item_id")
-    assert math.isclose(x[1, 11]["rating_z_user"], 1.0) and x[1, 11]["age_days"] == 4.0 and len(x) == 10
+    assert math.isclose(x[12, 301]["rating_z_user"], (5 - 10 / 3) / math.sqrt(13 / 3)) and x[12, 301]["age_days"] == 9.0 and len(x) == 11
 
 
 def test_graph(toy):
     cfg = graph.tuned(toy, graph.GraphConfig())
-    assert (cfg.min_support, cfg.topk, cfg.min_cosine) == (1, 6, 0.0)
+    assert (cfg.min_support, cfg.topk, cfg.min_cosine) == (1, 5, 0.0)
     e = by(graph.item_edges(toy, cfg), "src_item", "dst_item")
-    assert e[11, 12]["cooc_cnt"] == 2 and math.isclose(e[11, 12]["cosine"], 1.0) and math.isclose(e[10, 11]["cosine"], 0.5)
+    assert e[301, 303]["cooc_cnt"] == 3 and math.isclose(e[301, 303]["cosine"], 1.0) and math.isclose(e[302, 301]["cosine"], 2 / math.sqrt(6)) and (304, 305) not in e
     assert all(0 <= r["cosine"] <= 1 for r in e.values()) and all((d, s) in e for s, d in e)
     top = graph.topk_neighbors(graph.item_edges(toy, cfg), 2).collect()
     assert max(r["rk"] for r in top) == 2 and len({(r["src_item"], r["rk"]) for r in top}) == len(top)
@@ -45,8 +47,8 @@ def test_graph(toy):
 
 def test_norms_differ(toy):
     one = graph.GraphConfig(1, 1, 9, 0.0, 1, 3, "interactions", 0)
-    e = by(graph.item_edges(toy, one), "src_item", "dst_item")  # user 2 has four items: out
-    assert math.isclose(e[10, 11]["cosine"], 1 / math.sqrt(2 * 2))
+    e = by(graph.item_edges(toy, one), "src_item", "dst_item")  # two users have four items: out
+    assert math.isclose(e[301, 303]["cosine"], 1 / 3) and (301, 302) not in e
 
 
 def test_components(spark):
@@ -62,7 +64,7 @@ def test_clusters(spark, toy):
     e = spark.createDataFrame([(1, 2, 0.5, 20), (2, 1, 0.5, 20), (5, 6, 0.5, 20), (6, 7, 0.5, 20), (8, 9, 0.01, 20)], "src_item long, dst_item long, cosine double, cooc_cnt long")
     got = {r["item_id"]: (r["cluster_id"], r["cluster_size"]) for r in components.connected_item_clusters(e, components.ClusterConfig(min_size=2)).collect()}
     assert got == {5: (0, 3), 6: (0, 3), 7: (0, 3), 1: (1, 2), 2: (1, 2)}
-    assert {r["item_id"]: r["cluster_id"] for r in components.dense_item_clusters(toy).collect()} == {10 + i: i for i in range(7)}
+    assert {r["item_id"]: r["cluster_id"] for r in components.dense_item_clusters(toy).collect()} == {301 + i: i for i in range(6)}
 
 
 def test_recommend(spark, toy):
@@ -73,7 +75,7 @@ def test_recommend(spark, toy):
     seen = {(r["user_id"], r["item_id"]) for r in ranking.user_history(toy, cfg).collect()}
     assert not seen & {(r["user_id"], r["item_id"]) for r in top}
     pop = ranking.recommend(toy, toy.limit(0), None, cfg).collect()
-    assert [r["item_id"] for r in sorted(pop, key=lambda r: (r["user_id"], r["rank"]))[:3]] == [10, 11, 12]
+    assert [r["item_id"] for r in sorted(pop, key=lambda r: (r["user_id"], r["rank"]))[:3]] == [301, 303, 302]
     few = ranking.recommend(toy, toy.limit(0), g, ranking.RankerConfig(k=3, min_history=9)).collect()
     assert sorted(map(tuple, few)) == sorted(map(tuple, pop))
 
@@ -107,6 +109,59 @@ def test_auc(spark):
     assert churn.auc(df.where("label = 1")).first()["roc_auc"] is None
 
 
+def test_pr_auc(spark):
+    """Trapezoids over the curve, ties together."""
+    rows = [(0.9, 1), (0.7, 0), (0.7, 1), (0.7, 1), (0.2, 0), (0.1, 1)]
+    curve, area = [(0.0, 1.0)], 0.0
+    for cut in (0.9, 0.7, 0.2, 0.1):
+        got = [y for s, y in rows if s >= cut]
+        curve.append((sum(got) / 4, sum(got) / len(got)))
+        (r0, p0), (r1, p1) = curve[-2:]
+        area += (r1 - r0) * (p0 + p1) / 2
+    assert math.isclose(churn.auc(spark.createDataFrame(rows, "churn_prob double, label int")).first()["pr_auc"], area)
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(float(rng.integers(0, 9)), None if i % 5 == 0 else float(x)) for i, x in enumerate(rng.normal(size=101))]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(7)
+    want = {"a2": ("a", 0.2), "a5": ("a", 0.5), "b9": ("b", 0.9), "b0": ("b", 0.0), "b1": ("b", 1.0)}
+    got = ordered.quantiles(df, want)
+    for name, (c, q) in want.items():
+        assert math.isclose(got[name], np.quantile([r[c == "b"] for r in rows if r[c == "b"] is not None], q), abs_tol=1e-12)
+    assert ordered.quantiles(df.limit(0), {"x": ("a", 0.5)}) == {"x": None}
+
+
+def test_running_totals(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, i % 3, i % 2) for i in range(50)], "k int, a int, b int").repartition(6)
+    got = {r["k"]: (r["x"], r["y"]) for r in ordered.running_totals(df, "k", x=F.col("a"), y=F.col("b")).collect()}
+    assert got == {i: (sum(j % 3 for j in range(i + 1)), sum(j % 2 for j in range(i + 1))) for i in range(50)}
+
+
+def test_two_sided_p(spark):
+    from pyspark.sql import functions as F
+
+    from brindle.functions.columns import two_sided_p
+
+    rows = spark.range(-40, 41).select((F.col("id") / 10.0).alias("z")).select("z", two_sided_p(F.col("z")).alias("p")).collect()
+    assert all(abs(r["p"] - normal.two_sided_p(r["z"])) < 2e-7 for r in rows)
+
+
+def test_seed_and_clock():
+    import random
+
+    from brindle.functions import runtime
+
+    runtime.set_seed(5)
+    a = random.random()
+    runtime.set_seed(5)
+    assert a == random.random() and runtime.utc_now().utcoffset().total_seconds() == 0
+
+
 def test_churn_model(spark):
     import numpy as np
 
@@ -118,6 +173,9 @@ def test_churn_model(spark):
     lab = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "user_id long, label int")
     scored, report = churn.train_and_score(f, lab)
     got = scored.orderBy("user_id").toPandas()
+    val = got[got["part"] == "val"]
+    wins = [(p > n) + 0.5 * (p == n) for p in val[val["label"] == 1]["churn_prob"] for n in val[val["label"] == 0]["churn_prob"]]
+    assert math.isclose(report["roc_auc"], np.mean(wins)) and math.isclose(report["churn_rate"], y.mean()) and 0 < report["pr_auc"] <= 1
     assert report["n_features"] == 2 and (got["part"] == "train").sum() == 160 and got["churn_prob"].between(0, 1).all()
     # The same objective by Newton's method.
     z = np.array([[a, b if i % 9 else np.nan] for i, (a, b) in enumerate(x)])
@@ -138,7 +196,7 @@ def test_churn_model(spark):
 
 def test_two_classes(spark, toy):
     with pytest.raises(ValueError):
-        churn.two_class_labels(toy.where("user_id = 1"))
+        churn.two_class_labels(toy.where("user_id = 12"))
     assert {r["label"] for r in churn.two_class_labels(toy).collect()} == {0, 1}
 
 
@@ -149,14 +207,14 @@ def test_feature_columns(toy):
 
 def test_ltv_and_risk(spark, toy):
     ltv = by(revenue.user_ltv(toy), "user_id")
-    months = round(2 + 1.2 * math.log(4) + 0.8 * math.log(4) - 0.08 * 3)
-    assert ltv[1]["expected_months"] == months and math.isclose(ltv[1]["ltv_usd"], 15.49 * months)
-    scores = spark.createDataFrame([(1, 0.9), (2, 0.1), (3, 0.5)], "user_id long, churn_prob double")
+    months = round(2 + 1.2 * math.log(4) + 0.8 * math.log(4) - 0.08 * 6)
+    assert ltv[12]["expected_months"] == months and math.isclose(ltv[12]["ltv_usd"], 15.49 * months)
+    scores = spark.createDataFrame([(11, 0.9), (12, 0.1), (13, 0.5)], "user_id long, churn_prob double")
     risk = revenue.revenue_risk(scores, revenue.user_ltv(toy))
     r = by(risk, "user_id")
-    assert math.isclose(r[1]["revenue_at_risk_usd"], 0.9 * r[1]["ltv_usd"]) and r[2]["risk_bucket"] == "low" and r[1]["risk_bucket"] == "high"
+    assert math.isclose(r[11]["revenue_at_risk_usd"], 0.9 * r[11]["ltv_usd"]) and r[12]["risk_bucket"] == "low" and r[11]["risk_bucket"] == "high"
     top = revenue.revenue_risk_top(risk, revenue.LtvConfig(top_share=0.5)).collect()
-    assert [(t["user_id"], t["rn"], t["n"]) for t in sorted(top, key=lambda t: t["rn"])] == [(1, 1, 3), (3, 2, 3)]
+    assert [(t["user_id"], t["rn"], t["n"]) for t in sorted(top, key=lambda t: t["rn"])] == [(11, 1, 3), (13, 2, 3)]
     assert revenue.revenue_risk_summary(risk).first()["n_users"] == 3
     with pytest.raises(ValueError):
         revenue.revenue_risk(scores.withColumnRenamed("churn_prob", "x"), revenue.user_ltv(toy))
@@ -206,8 +264,12 @@ def test_experiment_report(spark):
 
 
 def test_reports(spark, toy):
+    e = spark.createDataFrame([(1, 2, 0.5, 3), (2, 1, 0.5, 3), (1, 3, 1.0, 7)], "src_item long, dst_item long, cosine double, cooc_cnt long")
+    assert sorted(map(tuple, reports.cosine_against_cooccurrence(e, 10).collect())) == [(3, 5, 2), (7, 9, 1)]
+    bars = reports.arm_bars(spark.createDataFrame([("control", 4, 10.0, 16.0)], "variant string, n long, mean_y double, var_y double")).first()
+    assert math.isclose(bars["hi"] - bars["lo"], 2 * 1.959963984540054 * 2)
     h = reports.histogram(toy, "rating", 3).orderBy("bin").collect()
-    assert [(r["bin"], r["n"]) for r in h] == [(0, 1), (1, 2), (2, 7)] and h[-1]["hi"] == 5.0
+    assert [(r["bin"], r["n"]) for r in h] == [(0, 2), (1, 2), (2, 7)] and h[-1]["hi"] == 5.0
     assert reports.plot_sample(toy, "item_id", 3).count() == 3
     t = reports.summary_table({"a": toy.agg({"rating": "max"}).toDF("top")}).first()
     assert tuple(t) == ("a", "top", 5.0)

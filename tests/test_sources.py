@@ -1,3 +1,7 @@
+from pathlib import Path
+
+from brindle import scratch
+from brindle.operators import splits
 from brindle.schema import INTERACTIONS
 from brindle.sources import io
 from brindle.streaming.ingest import ingest_ratings
@@ -21,9 +25,39 @@ def test_optional(spark, tmp_path):
     assert io.read_optional(spark, str(tmp_path / "none"), INTERACTIONS).count() == 0
 
 
-def test_json(tmp_path):
-    io.write_json({"b": 1, "a": [2]}, str(tmp_path / "x" / "y.json"))
-    assert io.read_json(str(tmp_path / "x" / "y.json")) == {"a": [2], "b": 1}
+def test_json(spark, tmp_path):
+    for path in (str(tmp_path / "x" / "y.json"), f"file://{tmp_path}/z/y.json"):
+        io.write_json(spark, {"b": 1, "a": [2]}, path)
+        io.write_json(spark, {"b": 1, "a": [2, "é"]}, path)
+        assert io.read_json(spark, path) == {"a": [2, "é"], "b": 1}
+    assert not (tmp_path / "file:").exists()
+
+
+def test_splits_and_metadata(spark, tmp_path, two_users):
+    rows = splits.split_per_user(two_users)
+    io.write_splits(rows, f"file://{tmp_path}/splits", splits.split_metadata(rows).first().asDict())
+    assert {p.name for p in (tmp_path / "splits").glob("split=*")} == {"split=train", "split=val", "split=test"}
+    assert io.read_json(spark, f"{tmp_path}/splits.metadata.json")["n_train"] == 11 and spark.read.parquet(f"{tmp_path}/splits").count() == 15
+
+
+def test_ratings_csv(spark, tmp_path, toy):
+    io.write_ratings_csv(toy, str(tmp_path / "raw"))
+    assert sorted(map(tuple, io.read_ratings_csv(spark, str(tmp_path / "raw")).collect())) == sorted(map(tuple, toy.collect()))
+
+
+def test_ordered_sink(spark, tmp_path, toy):
+    io.write_parquet(toy, str(tmp_path / "o"), order_by=("item_id", "user_id"), files=1)
+    got = [(r["item_id"], r["user_id"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()]
+    assert got == sorted(got) and len(list((tmp_path / "o").glob("*.parquet"))) == 1
+
+
+def test_scope(spark, toy):
+    with scratch.scope(spark):
+        made = scratch.materialize(toy, "inside")
+        assert made.count() == 11
+        folder = made.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert Path(folder).is_dir()
+    assert not Path(folder).exists() and scratch.materialize(toy, "outside").count() == 11
 
 
 def test_stream_reads_each_file_once(spark, tmp_path):

@@ -9,12 +9,12 @@ def counts(df):
 
 
 def test_per_user(two_users):
-    assert counts(splits.split_per_user(two_users)) == {(1, "train"): 7, (1, "val"): 2 - 1, (1, "test"): 2, (2, "train"): 4}
+    assert counts(splits.split_per_user(two_users)) == {(21, "train"): 8, (21, "val"): 2, (21, "test"): 2, (22, "train"): 3}
 
 
 def test_per_user_shares(two_users):
-    got = counts(splits.split_per_user(two_users, splits.SplitConfig(0.7, 0.2, 5)))
-    assert got == {(1, "train"): 7, (1, "val"): 2, (1, "test"): 1, (2, "train"): 4}
+    got = counts(splits.split_per_user(two_users, splits.SplitConfig(0.5, 0.3, 4)))
+    assert got == {(21, "train"): 6, (21, "val"): 3, (21, "test"): 3, (22, "train"): 3}
 
 
 def test_small_users_are_all_train(toy):
@@ -25,16 +25,30 @@ def test_global_order(two_users):
     out = splits.split_global(two_users).collect()
     last = {s: max(r["ts"] for r in out if r["split"] == s) for s in ("train", "val")}
     first = {s: min(r["ts"] for r in out if r["split"] == s) for s in ("val", "test")}
-    assert [sum(r["split"] == s for r in out) for s in ("train", "val", "test")] == [9, 2, 3]
+    assert [sum(r["split"] == s for r in out) for s in ("train", "val", "test")] == [10, 2, 3]
     assert last["train"] <= first["val"] and last["val"] <= first["test"]
 
 
-@pytest.mark.parametrize("t,v", [(1.0, 0.0), (0.0, 0.2), (0.8, 0.25), (-0.1, 0.1)])
+@pytest.mark.parametrize("t,v", [(0.7, 0.3), (1.5, 0.1), (0.6, -0.05), (0.55, 0.5)])
 def test_bad_shares(t, v):
     with pytest.raises(ValueError):
         splits.SplitConfig(t, v)
 
 
+def test_bad_minimum():
+    with pytest.raises(ValueError):
+        splits.SplitConfig(min_interactions=0)
+
+
+def test_overlaps(two_users):
+    from pyspark.sql import functions as F
+
+    good = splits.split_per_user(two_users)
+    assert splits.overlaps(good).count() == 0
+    twice = good.unionByName(good.where("user_id = 22").withColumn("split", F.lit("test")))
+    assert {(r["user_id"], r["n_splits"]) for r in splits.overlaps(twice).collect()} == {(22, 2)}
+
+
 def test_empty(spark, toy):
     none = toy.limit(0)
     assert splits.split_per_user(none).count() == 0 and splits.split_global(none).count() == 0
