@@ -1,81 +1,5 @@
-"""From raw documents to packed training sequences, stage by stage.
+"""The corpus pipeline: see ``brindle.llm.pipeline``."""
 
-Each stage takes the documents that the one before it kept and returns documents with the same
-columns; the last returns packed pieces. ``n_chars`` follows the text.
-"""
+from brindle.llm.pipeline import ORACLE_SQL, ORACLES, QUERIES, STAGES, lines, mix, near_copies, quality, run, sequences
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from brindle.llm import line_dedup, ngram_join, packing, quality_qda, source_mix
-from brindle.llm.common import materialize, read_table, rows_with_ids, rows_without_ids
-
-
-def _without(docs: DataFrame, gone: DataFrame, id_col: str, *also: str) -> DataFrame:
-    """``docs`` less the rows in ``gone``, by ``id_col`` and ``also`` (nulls match); only rows that may be among them are shuffled."""
-    same = F.lit(True)
-    for c in (id_col, *also):
-        same &= F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}"))
-    near = rows_with_ids(docs, gone, id_col).alias("d").join(gone.alias("g"), same, "left_anti").select(*docs.columns)
-    return rows_without_ids(docs, gone, id_col).select(*docs.columns).unionByName(near)
-
-
-def _counted(docs: DataFrame) -> DataFrame:
-    kind = docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None
-    return docs.withColumn("n_chars", F.length("text").cast(kind)) if kind else docs
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject. Each row is judged by its own text."""
-    scored = quality_qda.classify(docs, read_table(spark, sf_dir, "labels"))
-    gone = materialize(scored.where("predicted = 0").select("doc_id", F.col("key").alias("__key")).distinct(), "rejected")
-    return _without(docs.withColumn("__key", F.xxhash64(F.col("text").cast("string"))), gone, "doc_id", "__key").drop("__key")
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are deleted; a document that they made up whole goes."""
-    cut = line_dedup.line_dedup(docs, stats=True)
-    left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return _counted(left.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns)))
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five words, 0.8) stays: of smallest id (nulls last), then text hash, then any."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    joined = ngram_join.ngram_jaccard_join(rows, k=5, threshold="0.8", id_col="__row").withColumnRenamed("doc_id", "__row")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("print"), "__row").alias("place")
-    placed = joined.join(rows.select("__row", place), "__row")
-    first = placed.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = placed.join(first, "component_id").where("__row <> first.__row").select("__row")
-    return _without(rows, materialize(gone, "copies"), "__row").drop("__row")
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources brought to their target weights: documents come as often, and as far, as the mix takes them."""
-    return _counted(source_mix.mixed_documents(docs))
-
-
-def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing into sequences of 1024 tokens."""
-    return packing.pack(docs)
-
-
-STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("source mix", mix), ("best-fit packing", sequences)]
-
-#: Seeded draws, connected components and a tokenizer: SQL cannot express these rows.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, name.replace(" ", "-"))
-    return docs
-
-
-QUERIES = {"pipeline": run}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "ORACLE_SQL", "QUERIES", "STAGES", "lines", "mix", "near_copies", "quality", "run", "sequences"]
