@@ -1,15 +1,21 @@
 """Operator 6: near-duplicate embeddings by iterative quantisation and multi-index Hamming tables.
 
-ITQ (Gong and Lazebnik, 2011) learns rotations of the principal axes that make sign codes of the
-vectors balanced and close to them; each code is cut into substrings, and every substring is one
-hash table. Vectors that share a bucket of any table are candidates and are compared by the cosine
-of the original vectors, in double precision. The rotations are fitted on a bounded sample; every
-vector is coded and indexed.
+ITQ (Gong and Lazebnik, 2011) learns one rotation of the centred principal axes whose signs are
+balanced binary codes close to the vectors. A code is cut into substrings, and every substring is one
+hash table (Norouzi et al., 2012): codes within the Hamming radius share a bucket of some table, where
+a vector stands in the bucket of its substring and, with ``probe`` 1, in those one bit away. Pairs of
+a bucket are first held by the Hamming distance of their whole codes; only vectors that have a
+partner within the radius are fetched, and those pairs are ranked by the cosine of the original
+vectors, in double precision.
+
+The rotation is fitted on a bounded sample, on which neighbours at exactly the least cosine are drawn
+too: they tell the radius and which cut of the code reaches ``recall`` at the least cost. Every vector
+is coded and indexed.
 
 Equal vectors are one node with a multiplicity. A bucket is worked through in blocks of at most
 ``BLOCK`` rows that meet pairwise, so a hot bucket spreads over tasks; a block gives each node its
-number of links (a pair is counted in the first table in which it meets) and a forest of links, so
-what leaves a block is linear in it.
+number of links (a pair counts in the first table, and there in one bucket, in which it meets) and a
+forest of links, so what leaves a block is linear in it.
 """
 
 from __future__ import annotations
@@ -25,95 +31,175 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import connected_components, materialize, read_table
 
-SAMPLE = 16_384  # vectors that the rotations are fitted on, at most
+SAMPLE = 16_384  # vectors that the rotation is fitted on, at most
 SAMPLE_VALUES = 1 << 22  # and numbers
+BITS = 128
 BLOCK = 1024
-MAX_WIDTHS = 64
+WIDTHS = 64  # widths with codes of their own; vectors of rarer widths all meet
+CELL = ["width", "t", "bucket", "lo", "hi"]
 
 
 @dataclass(frozen=True)
-class Codes:
-    """``tables[t]``: (d, bits) projection whose signs are the key of table t."""
-
-    tables: np.ndarray
-
-    def keys(self, unit: np.ndarray) -> np.ndarray:
-        bits = self.tables.shape[2]
-        weight = 1 << np.arange(bits, dtype=np.int64)
-        return np.stack([(unit @ t >= 0) @ weight for t in self.tables], axis=1).astype(np.int64)
-
-
-def itq(sample: np.ndarray, bits: int, seed: int, rounds: int = 50) -> np.ndarray:
-    """(d, bits) projection: principal axes, then the rotation that iterative quantisation ends with."""
+class Index:
+    """Codes are the signs of ``(unit - mean) @ project``, cut into substrings of ``size`` bits."""
+
+    mean: np.ndarray
+    project: np.ndarray
+    size: int = 8
+    probe: int = 0
+    radius: int = BITS
+
+    def words(self, unit: np.ndarray) -> np.ndarray:
+        """(n, BITS / 64) uint64."""
+        signs = (unit - self.mean) @ self.project >= 0
+        return np.packbits(signs, axis=1, bitorder="little").view(np.uint64)
+
+    def keys(self, words: np.ndarray) -> np.ndarray:
+        """(n, tables) int64, the substrings."""
+        each = 64 // self.size
+        mask = np.uint64((1 << self.size) - 1)
+        return np.stack([(words[:, t // each] >> np.uint64(t % each * self.size)) & mask for t in range(BITS // self.size)], axis=1).astype(np.int64)
+
+    def buckets(self, words: np.ndarray) -> np.ndarray:
+        """(n, tables, buckets of a table in which a vector stands) int64."""
+        keys = self.keys(words)
+        flips = np.array([0, *(1 << i for i in range(self.size))][: 1 + self.size * self.probe], np.int64)
+        return keys[:, :, None] ^ flips
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(a[:, None, w] ^ b[None, :, w]).astype(np.int16) for w in range(a.shape[1]))
+
+    def meets(self, a: np.ndarray, b: np.ndarray, table: int, bucket: int) -> np.ndarray:
+        """(len(a), len(b)) bool: pairs within the radius whose place to count is this bucket."""
+        near = self.distance(a, b) <= self.radius
+        if not near.any():
+            return near
+        ka, kb = self.keys(a), self.keys(b)
+        for t in range(table):
+            near &= np.bitwise_count(ka[:, None, t] ^ kb[None, :, t]) > 2 * self.probe
+        x, y = ka[:, None, table], kb[None, :, table]
+        if self.probe:  # two substrings two bits apart meet in two buckets, nearer ones in more
+            apart = x ^ y
+            low = apart & -apart
+            least, most = np.minimum(x, y), np.maximum(x, y)
+            place = np.where(apart == low, least, (x & y) | (least & low) | (most & (apart ^ low)))
+            return near & (place == bucket)
+        return near & (x == bucket) & (y == bucket)
+
+
+def itq(sample: np.ndarray, bits: int = BITS, seed: int = 20240501, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, (d, bits) projection): centred principal axes, then the rotation that iterative quantisation ends with."""
     d = sample.shape[1]
-    _, _, axes = np.linalg.svd(sample.T @ sample / max(len(sample), 1))
+    mean = sample.mean(0)
+    _, _, axes = np.linalg.svd((sample - mean).T @ (sample - mean) / max(len(sample), 1))
     rng = np.random.default_rng(seed)
     rotation = np.linalg.qr(rng.standard_normal((bits, bits)))[0]
-    # Axes beyond the vectors' width or the sample's rank: random directions stand in.
+    # Axes beyond the vectors' width: random directions stand in.
     axes = axes.T[:, :bits] if bits <= d else np.column_stack([axes.T, rng.standard_normal((d, bits - d)) / math.sqrt(d)])
-    low = sample @ axes
+    low = (sample - mean) @ axes
     for _ in range(rounds):
         code = np.where(low @ rotation >= 0, 1.0, -1.0)
         u, _, v = np.linalg.svd(code.T @ low)
         rotation = (u @ v).T
-    return axes @ rotation
-
-
-def fit(sample: np.ndarray, n: int, least: float, recall: float = 0.99, seed: int = 20240501) -> Codes:
-    """Tables for n unit vectors: substrings of about log2(n / 64) bits, as many as meet ``recall`` at cosine ``least``.
-
-    A bit of two vectors at angle a agrees with probability 1 - a / pi, near enough, so a
-    substring of s bits does with its s-th power.
-    """
-    d = sample.shape[1]
-    bits = int(min(30, max(6, round(math.log2(max(n, 2) / 64)))))
-    meet = (1 - math.acos(min(1.0, least)) / math.pi) ** bits
-    count = max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(meet, 0.999999))))
-    width = max(bits, min(d, 64) // bits * bits)
-    parts: list[np.ndarray] = []
-    while len(parts) < count:
-        code = itq(sample, width, seed + len(parts))
-        parts += [code[:, i : i + bits] for i in range(0, width, bits)]
-    return Codes(np.stack(parts[:count]))
+    return mean, axes @ rotation
+
+
+def fit(sample: np.ndarray, n: int, least: float, recall: float = 0.98, seed: int = 20240501) -> Index:
+    """Index for n unit vectors: rotation, radius and cut of the code from the sample."""
+    mean, project = itq(sample, BITS, seed)
+    rng = np.random.default_rng(seed + 1)
+    x = sample[:2048]
+    off = rng.standard_normal(x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    size = np.linalg.norm(off, axis=1, keepdims=True)
+    near = least * x + math.sqrt(max(0.0, 1 - least * least)) * off / np.where(size > 0, size, 1)
+    whole = Index(mean, project)
+    a, b = whole.words(x), whole.words(near)
+    distance = np.bitwise_count(a ^ b).sum(1)
+    radius = int(np.quantile(distance, 1 - (1 - recall) / 4, method="higher"))
+    found = []
+    for bits in (8, 16, 32):
+        for probe in (0, 1):
+            index = Index(mean, project, bits, probe, radius)
+            meet = (np.bitwise_count(index.keys(a) ^ index.keys(b)) <= 2 * probe).any(1) & (distance <= radius)
+            rows = BITS // bits * (1 + bits * probe) * n
+            pairs = BITS // bits * 2.0**bits * (n * (1 + bits * probe) / 2.0**bits) ** 2 / 2
+            found.append((float(meet.mean()), rows * 1e-6 + pairs * 5e-9, index))
+    enough = [f for f in found if f[0] >= recall] or [max(found, key=lambda f: f[0])]
+    return min(enough, key=lambda f: f[1])[2]
 
 
 def _unit(column: pa.Array, d: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _code(codes, d: int):
+def _code(index, d: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = codes.value.keys(_unit(batch.column("v"), d))
-                at = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1])
-                yield pa.record_batch({"h": batch.column("h"), "n": batch.column("n"), "v": batch.column("v"), "keys": pa.ListArray.from_arrays(at, pa.array(keys.ravel()))})
+                words = index.value.words(_unit(batch.column("v"), d)).view(np.int64)
+                yield pa.record_batch({"node": batch.column("node"), "c0": pa.array(words[:, 0].copy()), "c1": pa.array(words[:, 1].copy())})
+
+    return run
+
+
+def _buckets(index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                batch = whole.slice(i, 2048)
+                held = index.value.buckets(_words(batch))
+                n, tables, each = held.shape
+                take = pa.array(np.repeat(np.arange(n), tables * each))
+                cols = {c: batch.column(c).take(take) for c in ("node", "c0", "c1")}
+                yield pa.record_batch({"t": pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), n)), "bucket": pa.array(held.ravel()), **cols})
 
     return run
 
 
-def _links(d: int, least: float):
-    """Of each block: (a, b, links): node a has ``links`` links here; a and b are linked through links here."""
-
-    def block(t: pa.Table) -> pa.RecordBatch | None:
-        table, lo, hi = (t.column(c)[0].as_py() for c in ("t", "lo", "hi"))
-        ids, n = (t.column(c).to_numpy() for c in ("h", "n"))
-        unit = _unit(t.column("v").combine_chunks(), d)
-        keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        if lo == hi:
-            i, j = np.nonzero(np.triu(unit @ unit.T >= least, 1))
-        else:
-            side = t.column("mine").to_numpy() == lo
-            a, b = np.flatnonzero(side), np.flatnonzero(~side)
-            i, j = np.nonzero(unit[a] @ unit[b].T >= least)
-            i, j = a[i], b[j]
-        met = np.zeros(len(i), bool)
-        for e in range(table):
-            met |= keys[i, e] == keys[j, e]
-        i, j = i[~met], j[~met]
+def _words(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([t.column(c).to_numpy() for c in ("c0", "c1")]).view(np.uint64)
+
+
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+    mine = t.column("mine").to_numpy()
+    return np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
+
+
+def _near(index):
+    """Of each cell: the nodes that have a partner within the radius in it."""
+
+    def cell(t: pa.Table) -> pa.RecordBatch | None:
+        a, b = _sides(t)
+        words = _words(t)
+        near = index.value.meets(words[a], words[b], t.column("t")[0].as_py(), t.column("bucket")[0].as_py())
+        if t.column("lo")[0].as_py() == t.column("hi")[0].as_py():
+            np.fill_diagonal(near, False)
+        some = np.unique(np.concatenate([a[near.any(1)], b[near.any(0)]]))
+        return t.select([*CELL, "mine", "node", "c0", "c1"]).take(pa.array(some)).combine_chunks().to_batches()[0] if len(some) else None
+
+    return _each_cell(cell)
+
+
+def _links(indexes, least: float):
+    """Of each cell: (a, b, links): node a has ``links`` links here; a and b are linked through links here."""
+
+    def cell(t: pa.Table) -> pa.RecordBatch | None:
+        width, lo, hi = (t.column(c)[0].as_py() for c in ("width", "lo", "hi"))
+        ids, n = (t.column(c).to_numpy() for c in ("node", "n"))
+        a, b = _sides(t)
+        unit = _unit(t.column("v").combine_chunks(), width)
+        link = unit[a] @ unit[b].T >= least
+        if (index := indexes.value.get(width)) is not None:
+            words = _words(t)
+            link &= index.meets(words[a], words[b], t.column("t")[0].as_py(), t.column("bucket")[0].as_py())
+        i, j = np.nonzero(np.triu(link, 1) if lo == hi else link)
         if not len(i):
             return None
+        i, j = a[i], b[j]
         degree = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
         root = np.arange(len(ids))
         while True:
@@ -127,6 +213,22 @@ def _links(d: int, least: float):
         some = np.flatnonzero(degree)
         return pa.record_batch({"a": pa.array(ids[some]), "b": pa.array(ids[root[some]]), "links": pa.array(degree[some].astype(np.int64))})
 
+    return _each_cell(cell)
+
+
+def _each_cell(cell):
+    """Rows sorted by CELL, one cell at a time."""
+
+    def borders(t: pa.Table) -> np.ndarray:
+        key = np.column_stack([t.column(c).to_numpy() for c in CELL])
+        return np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]]) if len(key) else np.array([0, 0])
+
+    def whole(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        cut = borders(t)
+        for a, b in zip(cut[:-1], cut[1:] if last else cut[1:-1], strict=False):
+            if b - a > 1 and (out := cell(t.slice(a, b - a))) is not None:
+                yield out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
@@ -137,69 +239,71 @@ def _links(d: int, least: float):
         if rest is not None:
             yield from whole(rest, True)
 
-    def borders(t: pa.Table) -> np.ndarray:
-        key = np.column_stack([t.column(c).to_numpy() for c in ("t", "bucket", "lo", "hi")])
-        return np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]]) if len(key) else np.array([0, 0])
-
-    def whole(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-        cut = borders(t)
-        for a, b in zip(cut[:-1], cut[1:] if last else cut[1:-1], strict=False):
-            if b - a > 1 and (out := block(t.slice(a, b - a))) is not None:
-                yield out
-
     return run
 
 
-def _one_width(nodes: DataFrame, d: int, n: int, least: float, recall: float) -> DataFrame:
-    spark = nodes.sparkSession
-    most = max(1, min(SAMPLE, SAMPLE_VALUES // d))
-    sample = nodes.orderBy(F.xxhash64("h"), "h").limit(most).select("v").toPandas()["v"]
-    sample = np.stack([np.asarray(x, np.float64) for x in sample])
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    codes = spark.sparkContext.broadcast(fit(sample, n, least, recall))
-    coded = materialize(nodes.mapInArrow(_code(codes, d), "h long, n long, v array<float>, keys array<long>"), "codes")
-    rows = coded.select("h", "n", "v", "keys", F.posexplode("keys").alias("t", "bucket"))
-    sizes = coded.select(F.posexplode("keys").alias("t", "bucket")).groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("size")).where("size > 1").drop("size")
-    rows = rows.join(sizes, ["t", "bucket"]).withColumn("mine", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+def _cells(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` (width, t, bucket, node, ..) of buckets of two or more, once for each cell of two blocks that they meet in."""
+    rows = materialize(rows, name)
+    sizes = rows.groupBy("width", "t", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = materialize(sizes.select("width", "t", "bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), f"{name}-sizes")
+    rows = rows.join(sizes, ["width", "t", "bucket"]).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("t", "bucket", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "h", "n", "v", "keys")
-    key = ["t", "bucket", "lo", "hi"]
-    rows = rows.repartition(*key).sortWithinPartitions(*key)
-    return rows.mapInArrow(_links(d, least), "a long, b long, links long")
+    return rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("blocks", "other")
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    return cells.repartition(*CELL).sortWithinPartitions(*CELL)
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.99) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.9, recall: float = 0.98) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
-    ``vectors`` has vec_id and embedding. A vector that is null, empty, zero or holds a null or
-    non-finite number links with nothing: 0 links, its own component, kept. Vectors of different
-    width never link. Rows that repeat an id are vectors of their own; ``component_id`` is the
-    smallest non-null id reachable, null where there is none. ``recall``: expected share of the
-    pairs at exactly cosine ``least`` that the tables find; closer pairs are found more often.
-    Other columns are ignored.
+    ``vectors`` has vec_id and embedding (an array of any numbers). A vector that is null, empty, zero
+    or holds a null or non-finite number links with nothing: 0 links, its own component, kept. Vectors
+    of different width never link. Rows that repeat an id are vectors of their own; ``component_id``
+    is the smallest non-null id reachable, null where there is none. ``recall``: share of the pairs at
+    exactly cosine ``least`` that the tables should find (as drawn on the sample); closer pairs are
+    found more often. Widths other than the WIDTHS most frequent are compared in full, in blocks.
+    Other columns are ignored. No rows: no rows.
     """
-    v = F.col("embedding").cast("array<float>")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0).cast("float")).alias("v"))  # -0 is 0
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.withColumn("h", F.when(F.coalesce(fine, F.lit(False)), F.xxhash64("v")))
-    nodes = materialize(rows.where("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("v").alias("v")), "nodes")
-    widths = {r["d"]: r["n"] for r in nodes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).limit(MAX_WIDTHS + 1).collect()}
-    if len(widths) > MAX_WIDTHS:
-        raise ValueError(f"vectors of more than {MAX_WIDTHS} widths")
-    found = None
+    spark = vectors.sparkSession
+    v = F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))  # -0 is 0
+    fine = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
+    # 128 bits tell vectors apart.
+    rows = rows.withColumn("h", F.when(fine, F.xxhash64("v"))).withColumn("g", F.when(fine, F.xxhash64(F.lit(1), "v")))
+    nodes = rows.where("h is not null").groupBy("h", "g").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("v").alias("v"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("width", F.size("v")), "nodes")
+    widths = {r["width"]: r["n"] for r in nodes.groupBy("width").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").limit(WIDTHS).collect()}
+    indexes, met = {}, None
     for d, n in sorted(widths.items()):
-        part = _one_width(nodes.where(F.size("v") == d).select("h", "n", "v"), d, n, least, recall)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "a long, b long, links long")
+        own = nodes.where(F.col("width") == d)
+        most = max(1, min(SAMPLE, SAMPLE_VALUES // d))
+        sample = own.orderBy(F.xxhash64("h"), "node").limit(most).select("v").toArrow().column("v").combine_chunks()
+        indexes[d] = fit(_unit(sample, d), n, least, recall)
+        index = spark.sparkContext.broadcast(indexes[d])
+        codes = own.mapInArrow(_code(index, d), "node long, c0 long, c1 long")
+        held = codes.mapInArrow(_buckets(index), "t int, bucket long, node long, c0 long, c1 long").withColumn("width", F.lit(d))
+        cells = _dealt(_cells(held, "codes").select(*CELL, "mine", "node", "c0", "c1"))
+        near = cells.mapInArrow(_near(index), "width int, t int, bucket long, lo int, hi int, mine int, node long, c0 long, c1 long")
+        met = near if met is None else met.unionByName(near)
+    out = "a long, b long, links long"
+    found = spark.createDataFrame([], out)
+    if met is not None:
+        rare = nodes.where(~F.col("width").isin(list(widths))).select("width", F.lit(0).alias("t"), F.lit(0).cast("long").alias("bucket"), "node", F.lit(0).cast("long").alias("c0"), F.lit(0).cast("long").alias("c1"))
+        met = materialize(met.unionByName(_cells(rare, "rare").select(*met.columns)), "met")
+        ready = _dealt(met.join(nodes.select("node", "n", "v"), "node").select(*CELL, "mine", "node", "c0", "c1", "n", "v"))
+        found = ready.mapInArrow(_links(spark.sparkContext.broadcast(indexes), least), out)
     found = materialize(found, "links")
-    part = connected_components(found, "a", "b")
+    part = materialize(connected_components(found, "a", "b"), "parts")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
-    nodes = nodes.select("h", "n", "least").join(links, F.col("h") == F.col("a"), "left").join(part, F.col("h") == F.col("node"), "left")
-    nodes = nodes.select("h", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "h").alias("part"))
-    ends = nodes.groupBy("part").agg(F.min("least").alias("component_id"))
-    nodes = materialize(nodes.join(ends, "part").select("h", "links", "component_id"), "components")
-    out = rows.select("vec_id", "h").join(nodes, "h", "left")
+    nodes = nodes.select("h", "g", "node", "n", "least").join(links, F.col("node") == F.col("a"), "left").drop("a")
+    nodes = nodes.join(part.withColumnRenamed("node", "end"), F.col("node") == F.col("end"), "left")
+    nodes = nodes.select("h", "g", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "node").alias("part"))
+    ends = materialize(nodes.groupBy("part").agg(F.min("least").alias("component_id")), "ends")
+    nodes = materialize(nodes.join(ends, "part").select("h", "g", "links", "component_id"), "components")
+    out = rows.select("vec_id", "h", "g").join(nodes, ["h", "g"], "left")
     component = F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
