@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(least, "u").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
         )
-        new = materialize(small.where("u > v").distinct(), "edges")
+        new = materialize(small.where("u > v").distinct(), "edges", rows=2 * before[0])
         after = mark(new)
         drop(e)
         e = new
