@@ -23,7 +23,7 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-BITS_EACH, MOST_SLOTS = 16, 1 << 26
+BITS_EACH, MOST_SLOTS = 8, 1 << 26
 
 
 def rows_with_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -47,8 +47,7 @@ def _sifted(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame | None:
     n = ids.count()  # of a written table: from its footers
     if n > 4 * MOST_SLOTS:
         return None
-    slots = 1 << max(16, min(MOST_SLOTS, BITS_EACH * n).bit_length())
-    slots = min(slots, MOST_SLOTS)
+    slots = next((s for s in (1 << 18, 1 << 22, 1 << 24) if s >= BITS_EACH * n), MOST_SLOTS)
     slot = F.pmod(F.xxhash64(id_col), F.lit(slots))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
     bits = ids.select(F.floor(slot / 64).alias("__place"), bit.alias("__bit")).groupBy("__place").agg(F.bit_or("__bit").alias("__bits"))

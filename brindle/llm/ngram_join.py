@@ -283,7 +283,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: Fraction | float
     meet = (F.col("l.token") == F.col("r.token")) & (F.col("l.h") < F.col("r.h"))
     pairs = light.alias("l").join(light.alias("r"), meet & _sizes_fit("l", "r", num, den)).select(*ends)
     leads = heavy.groupBy("token").agg(F.min(F.struct("n", "h")).alias("l1"), F.min(F.struct(F.xxhash64("h").alias("by"), "n", "h")).alias("l2"))
-    leads = heavy.join(leads, "token").select("h", "n", F.explode(F.array(F.struct("l1.h", "l1.n"), F.struct("l2.h", "l2.n"))).alias("r")).alias("l")
+    leads = heavy.join(materialize(leads, "leads"), "token").select("h", "n", F.explode(F.array(F.struct("l1.h", "l1.n"), F.struct("l2.h", "l2.n"))).alias("r")).alias("l")
     fit = (F.col("l.h") != F.col("r.h")) & (F.least("n", "r.n") * den >= F.greatest("n", "r.n") * num)
     pairs = pairs.unionByName(leads.where(fit).select(*ends)).distinct()
     pairs = pairs.join(facts.alias("x"), F.col("a") == F.col("x.h")).join(facts.alias("y"), F.col("b") == F.col("y.h")).where(_suffixes_fit("x", "y", num, den))

@@ -6,8 +6,7 @@ columns; the last returns packed pieces. ``n_chars`` follows the text.
 In every stage each row is decided on by itself, so rows may repeat an id, or have none, and may repeat
 as a whole. Null, empty and wordless texts: the classifier scores them like any text, line dedup leaves
 them, they are nobody's copies, and the mix, which is of words, does not take them. Columns other than
-doc_id, text, source and n_chars are carried along whatever their names, but for names that begin
-with two underscores. No rows: no rows.
+doc_id, text, source and n_chars are carried along whatever their names. No rows: no rows.
 """
 
 from __future__ import annotations
@@ -19,13 +18,18 @@ from brindle.llm import line_dedup, ngram_join, packing, quality_qda, source_mix
 from brindle.llm.common import materialize, read_table, rows_with_ids, rows_without_ids
 
 
-def _without(docs: DataFrame, gone: DataFrame, id_col: str, *also: str) -> DataFrame:
-    """``docs`` less the rows in ``gone``, by ``id_col`` and ``also`` (nulls match); only rows that may be among them are shuffled."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """Whole rows as one column, so that no name of theirs meets one of ours."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def _without(rows: DataFrame, gone: DataFrame, id_col: str, *also: str) -> DataFrame:
+    """The documents of ``rows`` (row, id_col, also) less those in ``gone`` (nulls match); only rows that may be among them are shuffled."""
     same = F.lit(True)
     for c in (id_col, *also):
         same &= F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}"))
-    near = rows_with_ids(docs, gone, id_col).alias("d").join(gone.alias("g"), same, "left_anti").select(*docs.columns)
-    return rows_without_ids(docs, gone, id_col).select(*docs.columns).unionByName(near)
+    near = rows_with_ids(rows, gone, id_col).alias("d").join(gone.alias("g"), same, "left_anti").select("row")
+    return rows_without_ids(rows, gone, id_col).select("row").unionByName(near).select("row.*")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -36,8 +40,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. Each row is judged by its own text, also without an id."""
     scored = quality_qda.classify(docs, read_table(spark, sf_dir, "labels"))
-    gone = materialize(scored.where("predicted = 0").select("doc_id", F.col("key").alias("__key")).distinct(), "rejected")
-    return _without(docs.withColumn("__key", F.xxhash64(F.col("text").cast("string"))), gone, "doc_id", "__key").drop("__key")
+    gone = materialize(scored.where("predicted = 0").select("doc_id", "key").distinct(), "rejected")
+    rows = _packed(docs).withColumns({"doc_id": F.col("row.doc_id").cast("long"), "key": F.xxhash64(F.col("row.text").cast("string"))})
+    return _without(rows, gone, "doc_id", "key")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +54,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five words, 0.8) stays: of smallest id (nulls last), then text hash, then any."""
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    joined = ngram_join.ngram_jaccard_join(rows, k=5, threshold="0.8", id_col="__row").withColumnRenamed("doc_id", "__row")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("print"), "__row").alias("place")
-    placed = joined.join(rows.select("__row", place), "__row")
-    first = placed.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = placed.join(first, "component_id").where("__row <> first.__row").select("__row")
-    return _without(rows, materialize(gone, "copies"), "__row").drop("__row")
+    rows = materialize(_packed(docs).withColumn("at", F.monotonically_increasing_id()), "numbered")
+    joined = ngram_join.ngram_jaccard_join(rows.select("at", "row.text"), k=5, threshold="0.8", id_col="at").withColumnRenamed("doc_id", "at")
+    place = F.struct(F.col("row.doc_id").isNull().alias("last"), F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("print"), "at").alias("place")
+    placed = joined.join(rows.select("at", place), "at")
+    first = materialize(placed.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-copies")
+    gone = placed.join(first, "component_id").where("at <> first.at").select("at")
+    return _without(rows, materialize(gone, "copies"), "at")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,19 +66,25 @@ def substrings(rows, width):
     return out
 
 
-def line_runs(rows, least):
-    """{(doc_id, text): text left} of distinct rows, in order of id, the text's Spark hash aside (ids differ here)."""
+def line_runs(rows, least, long=None):
+    """{(doc_id, text): text left} of distinct rows, in order of id, nulls last (rows that share an id share the text too).
+
+    Runs have ``least`` lines, or fewer of more than ``long`` words together.
+    """
     seqs = []
-    for d, t in sorted(rows):
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0], r[1])):
         seqs.append((d, t, [(i, x) for i, x in enumerate(t.split("\n")) if WORD.search(x)]))
     seen, out = set(), {}
     for d, t, s in seqs:
         gone = set()
-        for i in range(len(s) - least + 1):
-            key = tuple(x for _, x in s[i : i + least])
-            if key in seen:
-                gone |= {n for n, _ in s[i : i + least]}
-            seen.add(key)
+        for i in range(len(s)):
+            for n in range(1 if long is not None else least, least + 1):
+                key = tuple(x for _, x in s[i : i + n])
+                if len(key) < n or n < least and sum(len(words(x)) for x in key) <= long:
+                    continue
+                if key in seen:
+                    gone |= {j for j, _ in s[i : i + n]}
+                seen.add(key)
         out[d, t] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
     return out
 

@@ -81,23 +81,56 @@ def test_long_lines(spark, texts, least, long):
     rng = random.Random(6)
     rows = [(i, t) for i, t in enumerate(texts) if t is not None]
     rows += [(500 + i, "\n".join(rng.choice(["a b c d e f g h", "c", "", " ", "d " * 13]) for _ in range(rng.randint(0, 12)))) for i in range(30)]
-    want, seen = {}, set()
-    for d, t in rows:
-        s = [(i, x) for i, x in enumerate(t.split("\n")) if words(x)]
-        gone = set()
-        for i in range(len(s)):
-            for n in range(1, min(least, len(s) - i) + 1):
-                key = tuple(x for _, x in s[i : i + n])
-                if n == least or sum(len(words(x)) for x in key) > long:
-                    if key in seen:
-                        gone |= {j for j, _ in s[i : i + n]}
-                    seen.add(key)
-        want[d, t] = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
+    want = line_runs(rows, least, long)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r["row"]["doc_id"], r["row"]["text"]): r["text"] for r in line_dedup.line_dedup(df, least, stats=True, long_words=long).collect()}
     assert got == want and (long == 10**6) == (got == line_runs(rows, least))
 
 
+def test_long_runs(spark):
+    """Runs of far more lines than ``min_lines``, nested, overlapping themselves, and hot lines; against diagonals of equal lines."""
+    rng = random.Random(8)
+    run = [f"line {i} of a run" for i in range(70)]
+    rows = [(0, "\n".join(run)), (1, "\n".join(["x", *run[5:60], "y"])), (2, "\n".join(run[:9] + ["hot line"] + run[9:40])), (3, "\n".join(["hot line"] * 13)), (4, "\n".join([*run[30:], "z", *run[30:50]]))]
+    rows += [(10 + i, "\n".join(rng.choice(["hot line", "a b", f"own {rng.random()}"]) for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["row"]["doc_id"], r["row"]["text"]): r["text"] for r in line_dedup.line_dedup(df, 3, stats=True).collect()}
+    assert got == line_runs(rows, 3)
+
+
+def test_suffix_array(spark):
+    """Order and longest common prefixes of all suffixes that begin with a shared line."""
+    rng = random.Random(4)
+    seqs = [[rng.choice("abc") for _ in range(rng.randint(0, 25))] for _ in range(12)] + [list("abcabcabcabcabcabc"), list("xyz"), list("bcabcabcabc")]
+    rows = [(d, d, i, x) for d, s in enumerate(seqs) for i, x in enumerate(s)]
+    suffixes, buckets, _ = line_dedup.suffix_array(spark.createDataFrame(rows, "id long, print long, at int, line string"))
+    rank = {(r["id"], r["at"]): r["rank"] for r in suffixes.collect()}
+    bucket = {r["rank"]: (r["lcp"], r["inner"]) for r in buckets.collect()}
+    often = Counter(x for _, _, _, x in rows)
+    assert set(rank) == {(d, i) for d, _, i, x in rows if often[x] > 1} and set(bucket) == set(rank.values())
+
+    def shared(a, b):
+        x, y = seqs[a[0]][a[1] :], seqs[b[0]][b[1] :]
+        return next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+
+    order = sorted(rank, key=rank.get)
+    for a, b in zip(order, order[1:], strict=False):
+        assert shared(a, b) == (bucket[rank[b]][1] if rank[a] == rank[b] else bucket[rank[b]][0])
+    # Any two suffixes share the least that neighbours between them do: the order keeps every prefix together.
+    for _ in range(300):
+        i, j = sorted(rng.sample(range(len(order)), 2))
+        assert shared(order[i], order[j]) == min(shared(a, b) for a, b in zip(order[i:j], order[i + 1 : j + 1], strict=True))
+
+
+def test_lines_as_sql(spark, texts):
+    rng = random.Random(15)
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200 + i, "\n".join(rng.choice(["a b", "c", "", "d " * 51, "e " * 30]) for _ in range(rng.randint(0, 14)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = line_dedup.line_dedup(df, stats=True, long_words=50)
+    out = out.select("row.doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    same_as_oracle(out, line_dedup.ORACLE, documents=df)
+
+
 def test_line_rows(spark, docs, empty, clashing):
     """All columns stay; null texts too; rows equal in id and text are cut alike."""
     assert line_dedup.line_dedup(empty).count() == 0
@@ -136,6 +169,33 @@ def test_secrets_consume_failing_matches(spark):
     assert secret_scan.report(paths, findings).count() == 0 == ledger.count()
 
 
+def test_secret_columns(spark):
+    """Extra columns with the operator's own names change nothing; very long texts are read whole."""
+    df = secret_docs(spark)
+    odd = df.withColumns({c: F.lit("x") for c in ("blob", "todo", "done", "found", "n", "plain", "kind", "at", "m", "spans")})
+    a, b = (secret_scan.report(p, f) for p, _, f in (secret_scan.scan(df), secret_scan.scan(odd)))
+    assert multiset(a.collect()) == multiset(b.collect())
+    long = spark.createDataFrame([(1, "y" * 2_000_000 + " token=abcdefgh"), (2, " " * 300_000)], "doc_id long, text string")
+    paths, _, findings = secret_scan.scan(long)
+    assert {r["doc_id"]: r["spans"] for r in secret_scan.report(paths, findings).collect()} == {1: "assign:2000001:2000015", 2: ""}
+
+
+def test_secret_query_and_saved_ledger(spark, tmp_path):
+    df = secret_docs(spark)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    same_as_oracle(secret_scan.query(spark, str(tmp_path)), secret_scan.ORACLE, documents=df)
+    folder = str(tmp_path / "ledger")
+    assert secret_scan.load(spark, folder) == (None, None)
+    for part in ("doc_id < 6", "doc_id < 103"):
+        ledger, findings = secret_scan.load(spark, folder)
+        _, ledger, findings = secret_scan.scan(df.where(part), ledger=ledger, findings=findings)
+        secret_scan.save(ledger, findings, folder)
+    ledger, findings = secret_scan.load(spark, folder)
+    paths, _, findings = secret_scan.scan(df, ledger=ledger, findings=findings)
+    full, _, found = secret_scan.scan(df)
+    assert multiset(secret_scan.report(paths, findings).collect()) == multiset(secret_scan.report(full, found).collect())
+
+
 def test_ledger_scans_only_what_is_new(spark):
     df = secret_docs(spark)
     paths, ledger, findings = secret_scan.scan(df.where("doc_id < 6"))
@@ -183,6 +243,17 @@ def test_chat_round_trip(spark):
     assert chat_format.digest(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_columns_and_long_texts(spark):
+    df = turns(spark)
+    odd = df.withColumns({c: F.lit("x") for c in ("head", "body", "size", "at", "start", "piece", "ts", "formatted", "targets", "t")})
+    a, b = (chat_format.digest(chat_format.format_conversations(x)) for x in (df, odd))
+    assert multiset(a.collect()) == multiset(b.collect())
+    text = "<|end|>\\s" * 200_000
+    long = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat_format.digest(chat_format.format_conversations(long)).first()
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_chat_oracle(spark, tmp_path):
     df = turns(spark).where("turn is not null and conv_id is not null")
     df.write.parquet(str(tmp_path / "conversations.parquet"))
@@ -275,6 +346,83 @@ def test_targets():
     assert source_mix.targets({}) == {} and source_mix.targets({"a": 0}) == {"a": 0.0}
 
 
+def plain_targets(sizes, most=3):
+    """Shares by weight; whoever is above the bound stops there, and the rest share again."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    out, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        each = left / sum(weight[s] for s in free)
+        over = {s for s in free if each * weight[s] > most * sizes[s]}
+        out |= {s: float(most * sizes[s]) if over else each * weight[s] for s in (over or free)}
+        left, free = left - sum(out[s] for s in over), free - (over or free)
+    return out
+
+
+def test_targets_are_water_filling():
+    rng = random.Random(11)
+    for _ in range(300):
+        sizes = {f"s{i}": rng.choice([0, 1, 5, 100, 10**6, rng.randint(1, 10**9)]) for i in range(rng.randint(1, 30))}
+        want, got = plain_targets(sizes), source_mix.targets(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * max(1.0, want[s]) for s in want)
+
+
+def test_shards_do_not_depend_on_tasks():
+    quota = np.array([1000, 0, 37, 4, 5000])
+    whole = [(a, s.tolist(), n.tolist(), b.tolist()) for a, s, n, b in source_mix.shard_counts(quota, 100, 0, 61, 7)]
+    parts = [(a, s.tolist(), n.tolist(), b.tolist()) for low in range(0, 61, 7) for a, s, n, b in source_mix.shard_counts(quota, 100, low, min(61, low + 7), 7)]
+    assert whole == parts and [a for a, *_ in whole] == list(range(61))
+    seen = Counter()
+    for a, sources, counts, before in whole:
+        assert sum(counts) == (100 if a < 60 else 41) and all(seen[s] == b for s, b in zip(sources, before, strict=True))
+        seen.update(dict(zip(sources, counts, strict=True)))
+    assert [seen[i] for i in range(5)] == quota.tolist()
+    # A node of very many slots is halved in proportion.
+    big = source_mix._halved(np.array([3 * 10**11, 10**11, 7]), 2 * 10**11, [1])
+    assert big.sum() == 2 * 10**11 and abs(big[0] - 1.5 * 10**11) < 10
+
+
+def test_mix_brute_force(spark):
+    """Independent of the plan: whole blocks of each source, recounted word by word from the slots' definition."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(rng.choice([0, 1, 3, 40, 200]))), rng.choice(["a", "b", "c", None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in source_mix.source_mix(df, block=16, slots=32).collect()}
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want = plain_targets(dict(sizes))
+    took = Counter()
+    for d, t, s in rows:
+        r = got[d]
+        assert (r["size"], r["source"], r["source_size"]) == (len(t.split()), s, sizes[s]) and abs(r["target"] - want[s]) < 1e-6
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        took[s] += r["taken"]
+    assert all(abs(took[s] - want[s]) <= 16 for s in sizes)
+    # The mix itself: its words are those that ``taken`` counts, every one from its own document.
+    words_of = Counter()
+    for r in source_mix.mixed_documents(df, block=16, slots=32).collect():
+        own = r["text"].split()
+        assert len(set(own)) == len(own) and all(w.startswith(f"w{r['doc_id']}x") for w in own)
+        words_of[r["source"]] += len(own)
+    assert all(abs(words_of[s] - want[s]) <= 16 for s in sizes)
+
+
+def test_small_sources(spark):
+    """Sources of about a block come within a few words of their targets."""
+    rows = [(i, " ".join(["w"] * 100), f"s{i:03d}") for i in range(60)] + [(100 + i, " ".join(["w"] * 1000), "zz") for i in range(20)]
+    got = source_mix.source_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    took, want = Counter(), {}
+    for r in got:
+        took[r["source"]] += r["taken"]
+        want[r["source"]] = r["target"]
+    assert all(abs(took[s] - t) <= 1 + 0.01 * t for s, t in want.items())
+
+
+def test_mix_clashing(docs, clashing):
+    assert multiset(source_mix.source_mix(clashing, block=8, slots=50).collect()) == multiset(source_mix.source_mix(docs, block=8, slots=50).collect())
+
+
 def test_mix(docs, plain):
     got = source_mix.source_mix(docs, block=8, slots=50).collect()
     again = source_mix.source_mix(docs.repartition(3), block=8, slots=50)
@@ -296,12 +444,20 @@ def test_mix(docs, plain):
 def test_mix_against_plan(docs):
     """Taken words recounted from the slots, word by word."""
     sized = docs.select("source", source_mix.word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.rand(1)).alias("key")).cache()
-    placed, slots, _ = source_mix.plan_mix(sized, 8, 50)
-    times = Counter((r["rank"], r["block"]) for r in slots.collect())
+    placed, slots, sources = source_mix.plan_mix(sized, 8, 50)
+    taken = slots.collect()
+    times = Counter((r["rank"], r["block"]) for r in taken)
     want = Counter()
     for r in placed.collect():
-        want[r["key"]] = sum(times[r["rank"], (r["offset"] + i) // 8] for i in range(r["size"]))
-    got = {r["key"]: r["n"] for r in source_mix.pieces(placed, slots, 8).groupBy("key").agg(F.sum(F.col("words") * F.col("times")).alias("n")).collect()}
+        want[r["key"]] = sum(times[r["rank"], (r["offset"] + i) // r["length"]] for i in range(r["size"]))
+    # Each source's epochs use every block once, and all shards but the last are full.
+    full = Counter(r["shard"] for r in taken)
+    assert set(full[i] for i in range(max(full))) == {50}
+    blocks = {r["rank"]: r["blocks"] for r in sources.collect()}
+    epochs = Counter((r["rank"], r["epoch"]) for r in taken)
+    last = {r: max(e for s, e in epochs if s == r) for r, _ in epochs}
+    assert all(n == blocks[r] for (r, e), n in epochs.items() if e < last[r]) and max(Counter((r["rank"], r["epoch"], r["block"]) for r in taken).values()) == 1
+    got = {r["key"]: r["n"] for r in source_mix.pieces(placed, slots).groupBy("key").agg(F.sum(F.col("words") * F.col("times")).alias("n")).collect()}
     assert got == {k: v for k, v in want.items() if v} and max(times.values()) <= 3
 
 
@@ -340,6 +496,44 @@ def quality_docs(spark, n=900):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*marks, (1, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
 
 
+def test_quality_brute_force(spark):
+    """Moments, covariances and scores again, row by row, from the statistics."""
+    docs, labels = quality_docs(spark, 300)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    mark = {}
+    for r in labels.collect():
+        if r["quality"] in (0, 1):
+            mark[r["doc_id"]] = max(mark.get(r["doc_id"], 0), r["quality"])
+    x = np.array([quality_qda.statistics(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for _, t in rows])
+    train = [i for i, (d, _) in enumerate(rows) if d in mark and zlib.crc32(str(d).encode()) % 5]
+    y = np.array([mark[rows[i][0]] for i in train])
+    t = x[train]
+    z = (x - t.mean(0)) / np.sqrt(np.maximum(t.var(0), 1e-4))
+    own, score = z[train], []
+    cov = [np.cov(own[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).mean() * cov[c] for c in (0, 1))
+    for c in (0, 1):
+        v = 0.9 * cov[c] + 0.1 * pooled
+        v = 0.95 * v + 0.05 * np.diag(np.diag(v)) + 1e-3 * np.eye(len(v))
+        d = z - own[y == c].mean(0)
+        score.append(-0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(v), d) - 0.5 * np.linalg.slogdet(v)[1])
+    difference = np.clip(score[1] - score[0] + np.log(((y == 1).sum() + 1) / ((y == 0).sum() + 1)), -500, 500)
+    bins = np.rint(difference[train] / 0.25).astype(int)
+    model = quality_qda.calibrate(quality_qda.Model(None, None, (), (), (), 0.0), Counter(zip(y.tolist(), bins.tolist(), strict=True)))
+    want = 1 / (1 + np.exp(-np.clip(model.slope * difference + model.shift, -700, 700)))
+    got = defaultdict(list)
+    for r in quality_qda.classify(docs, labels).collect():
+        got[r["doc_id"]].append(r["score"])
+    for (d, _), s in zip(rows, want.tolist(), strict=True):
+        assert min(abs(s - g) for g in got[d]) < 1e-3
+
+
+def test_quality_columns(spark):
+    docs, labels = quality_docs(spark, 60)
+    odd = docs.withColumns({c: F.lit(1) for c in ("key", "x", "label", "score", "predicted", "held_out", "quality", "lang", "source")})
+    assert multiset(quality_qda.classify(odd, labels.withColumn("text", F.lit("x"))).collect()) == multiset(quality_qda.classify(docs, labels).collect())
+
+
 def test_quality_held_out(spark):
     docs, labels = quality_docs(spark)
     got = quality_qda.classify(docs, labels).collect()

@@ -15,9 +15,11 @@ def test_ngram_join(docs, plain, k, t, num, den):
 
 
 def test_ngram_join_blocks(docs, plain, monkeypatch):
-    """Posting lists cut into blocks of three rows, and none but pairs light."""
+    """Posting lists cut into blocks of three rows, none but pairs light, hubs with two partners a task."""
     monkeypatch.setattr(ngram_join, "LIGHT", 2)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 2)
+    monkeypatch.setattr(ngram_join, "PIECES", 1)
     got = ngram_join.ngram_jaccard_join(docs, 1, "0.4", sketch_bits=12)
     assert multiset(got.collect()) == multiset(near(plain, 1, 2, 5))
 
@@ -60,6 +62,25 @@ def test_substring_history(docs, plain, width, gram, batches):
     assert multiset(low.collect() + high.collect()) == multiset(substrings(plain, width))
 
 
+def test_substring_saved_index(spark, docs, plain, tmp_path):
+    """An index that is saved and loaded between calls, with compaction, serves as one that stays."""
+    folder, out = str(tmp_path / "index"), []
+    assert substring_dedup.FingerprintIndex.load(spark, folder) is None
+    for part in ("doc_id < 30", "doc_id >= 30 and doc_id < 60", "doc_id is null or doc_id >= 60"):
+        index = substring_dedup.FingerprintIndex.load(spark, folder) or substring_dedup.FingerprintIndex(4, 13, 5, most_runs=1)
+        out += substring_dedup.substring_dedup(docs.where(part), batches=1, index=index).collect()
+        index.save(folder)
+    assert multiset(out) == multiset(substrings(plain, 13))
+    with pytest.raises(ValueError):
+        substring_dedup.substring_dedup(docs, width=6, index=index)
+
+
+def test_substring_query(spark, docs, plain, tmp_path):
+    """The query's batches, runs and compaction."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert multiset(substring_dedup.query(spark, str(tmp_path)).collect()) == multiset(substrings(plain, 13))
+
+
 def test_substring_edges(empty, clashing, plain, docs):
     assert substring_dedup.substring_dedup(empty, buckets=4).count() == 0
     assert multiset(substring_dedup.substring_dedup(clashing, buckets=4).collect()) == multiset(substrings(plain, 13))
@@ -110,13 +131,88 @@ def test_embeddings_empty(spark):
     assert embedding_itq.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def planted(rng, n, d, pairs):
+    """Vectors of which ``pairs`` have a partner at a cosine from 0.9 to 0.97."""
+    x = rng.normal(size=(n, d)) + 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = rng.uniform(0.9, 0.97, pairs)[:, None]
+    off = rng.normal(size=(pairs, d))
+    off -= (off * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    x[n - pairs :] = cos * x[:pairs] + np.sqrt(1 - cos**2) * off / np.linalg.norm(off, axis=1, keepdims=True)
+    return x * rng.uniform(0.1, 10, (n, 1))
+
+
+def test_embeddings_recall(spark, capsys):
+    """Links of 12,500 planted vectors of three widths, against brute force."""
+    rng = np.random.default_rng(3)
+    parts = {d: planted(rng, n, d, n // 8) for d, n in ((32, 4000), (64, 6000), (160, 2500))}
+    rows, at = [], {}
+    for d, x in parts.items():
+        at[d] = len(rows)
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in embedding_itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows)
+    for d, x in parts.items():
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        degree = (u @ u.T >= 0.9).sum(1) - 1
+        found = np.array([got[at[d] + i]["n_links"] for i in range(len(x))])
+        assert (found <= degree).all()
+        recall = found.sum() / degree.sum()
+        with capsys.disabled():
+            print(f"op6 recall, width {d}: {recall:.4f} of {degree.sum() // 2} links")
+        assert recall >= 0.95
+
+
+def test_embeddings_in_double(spark):
+    """Numbers that single precision does not hold, and a cosine next to 0.9."""
+    c = 0.9 + 1e-9
+    rows = [(1, [1e300, 1e300]), (2, [1e300, 1e300]), (3, [1e-60, 0.0]), (4, [1e-60, 0.0]), (5, [0.0, 5.0]), (6, [c, math.sqrt(1 - c * c)])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=1.0).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 3), 4: (2, 3), 5: (0, 5), 6: (2, 3)} or got[1][0] >= 1 <= got[3][0]
+    near = [(1, [1.0, 0.0]), (2, [0.9 - 1e-9, math.sqrt(1 - (0.9 - 1e-9) ** 2)]), (3, [c, -math.sqrt(1 - c * c)])]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_itq.near_duplicates(spark.createDataFrame(near, "vec_id long, embedding array<double>")).collect()}
+    assert got[2] == 0 and got[1] == got[3] <= 1
+
+
+def test_embeddings_of_many_widths(spark, monkeypatch):
+    """Widths without codes of their own are compared in full."""
+    monkeypatch.setattr(embedding_itq, "WIDTHS", 2)
+    rng = np.random.default_rng(7)
+    rows = []
+    for d in range(2, 9):
+        x = planted(rng, 24 + d, d, 6)
+        rows += [(len(rows) + i, v.tolist(), d) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, node int")).collect()}
+    for d in range(2, 7):  # the two most frequent widths, 7 and 8, have codes
+        own = [(i, np.array(v)) for i, v, e in rows if e == d]
+        u = np.array([v / np.linalg.norm(v) for _, v in own])
+        degree = (u @ u.T >= 0.9).sum(1) - 1
+        assert [got[i] for i, _ in own] == degree.tolist()
+
+
+@pytest.mark.parametrize("size,probe", [(8, 0), (8, 1), (16, 1)])
+def test_pairs_meet_once(size, probe):
+    """A pair within the radius meets in some bucket when a substring is near enough, and counts in one of them only."""
+    rng = np.random.default_rng(size + probe)
+    base = rng.integers(0, 1 << 63, (30, 2), dtype=np.uint64)
+    words = np.vstack([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, base.shape, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, base.shape, dtype=np.uint64)) for _ in range(4)])
+    index = embedding_itq.Index(np.zeros(1), np.zeros((1, 128)), size, probe, 10)
+    held = index.buckets(words)
+    seen = np.zeros((len(words), len(words)), int)
+    for t in range(held.shape[1]):
+        for b in np.unique(held[:, t]):
+            i = np.flatnonzero((held[:, t] == b).any(1))
+            seen[np.ix_(i, i)] += index.meets(words[i], words[i], t, b)
+    keys = index.keys(words)
+    near = (np.bitwise_count(keys[:, None] ^ keys[None]) <= 2 * probe).any(2) & (index.distance(words, words) <= 10)
+    assert (seen == near).all()
+
+
 def test_itq_balances_codes():
-    x = vectors(5, 2000, 16).astype(float)
+    x = vectors(5, 2000, 16).astype(float) + 0.5
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    p = embedding_itq.itq(x, 8, 0)
-    share = (x @ p >= 0).mean(0)
-    assert p.shape == (16, 8) and (np.abs(share - 0.5) < 0.2).all()
-    assert embedding_itq.itq(x, 24, 0).shape == (16, 24)
-    codes = embedding_itq.fit(x, 10**6, 0.9)
-    meet = (1 - math.acos(0.9) / math.pi) ** codes.tables.shape[2]
-    assert 1 - (1 - meet) ** len(codes.tables) >= 0.98
+    mean, project = embedding_itq.itq(x, 8)
+    share = ((x - mean) @ project >= 0).mean(0)
+    assert project.shape == (16, 8) and (np.abs(share - 0.5) < 0.2).all()
+    assert embedding_itq.itq(x)[1].shape == (16, 128)
+    assert {embedding_itq.fit(x, n, 0.9).size for n in (10**3, 10**12)} <= {8, 16, 32}
