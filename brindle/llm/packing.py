@@ -31,7 +31,7 @@ EOS = 2
 CACHE = 48 << 20  # bytes of chunks that a worker remembers
 JOINED = 2048  # bytes of chunks that are encoded as one text
 RANKED = 1 << 10  # pieces of one length, about, that are ranked in one task
-MAX_RUNS = 1_000_000
+MAX_RUNS = 1_000_000  # a longer plan is joined without a broadcast
 
 _SOLID = np.zeros(256, bool)  # bytes that begin a character which is no white space
 _SOLID[0x21:0x7F] = _SOLID[0xC3:0xE0] = _SOLID[0xE4:0xF5] = True
@@ -282,14 +282,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, wi
     sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     sums = materialize(sums.drop("n"), "bases")
     runs, _ = plan_packing(histogram, capacity)
-    if len(runs) > MAX_RUNS:
-        raise RuntimeError("the packing plan is larger than it can be")
     plan = docs.sparkSession.createDataFrame(runs, "length long, first_rank long, ranks long, first long, q long, at long")
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = cut.withColumn("own", F.row_number().over(order)).join(sums, ["length", "part"]).withColumn("rank", F.col("base") + F.col("own") - 1)
     inside = (F.col("c.length") == F.col("p.length")) & (F.col("c.rank") >= F.col("p.first_rank")) & (F.col("c.rank") < F.col("p.first_rank") + F.col("p.ranks"))
     j = F.col("c.rank") - F.col("p.first_rank")
-    out = ranked.alias("c").join(F.broadcast(plan).alias("p"), inside)
+    out = ranked.alias("c").join((F.broadcast(plan) if len(runs) <= MAX_RUNS else plan).alias("p"), inside)
     return out.select(
         "c.doc_id", "c.piece", "c.start", "c.length", "c.ids_crc32", (F.col("p.first") + F.floor(j / F.col("p.q"))).alias("sequence_id"),
         (F.col("p.at") + F.pmod(j, F.col("p.q")) * F.col("c.length")).alias("offset"), *(["c.ids"] if with_ids else []),

@@ -116,6 +116,14 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch({"label": pa.array(np.repeat([0, 1], m), pa.int32()), "at": pa.array(np.tile(np.arange(m), 2), pa.int32()), "value": pa.array(total.ravel())})
 
 
+def _substituted(factor: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+    """The solution of ``factor @ u = rhs`` for a lower triangular factor, row by row."""
+    u = np.empty_like(rhs)
+    for i in range(len(factor)):
+        u[i] = (rhs[i] - factor[i, :i] @ u[:i]) / factor[i, i]
+    return u
+
+
 @dataclass(frozen=True)
 class Model:
     """Means, Cholesky factors and half log determinants of classes 0 and 1, and the log prior odds of 1."""
@@ -133,7 +141,7 @@ class Model:
         z = (x - self.centre) / self.scale
         d = []
         for c in (0, 1):
-            u = np.linalg.solve(self.factors[c], (z - self.means[c]).T)
+            u = _substituted(self.factors[c], (z - self.means[c]).T)
             d.append(-0.5 * (u * u).sum(0) - self.half_logdet[c])
         return np.clip(d[1] - d[0] + self.odds, -RANGE, RANGE)
 

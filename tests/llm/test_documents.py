@@ -528,6 +528,13 @@ def test_quality_brute_force(spark):
         assert min(abs(s - g) for g in got[d]) < 1e-3
 
 
+def test_substitution():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(6, 6))
+    factor, rhs = np.linalg.cholesky(a @ a.T + np.eye(6)), rng.normal(size=(6, 9))
+    assert np.allclose(quality_qda._substituted(factor, rhs), np.linalg.solve(factor, rhs))
+
+
 def test_quality_columns(spark):
     docs, labels = quality_docs(spark, 60)
     odd = docs.withColumns({c: F.lit(1) for c in ("key", "x", "label", "score", "predicted", "held_out", "quality", "lang", "source")})
