@@ -6,14 +6,18 @@ what earlier batches had, as immutable runs sorted by fingerprint.
 
 Windows are not indexed one by one. Each takes as anchor the least hash among its ``gram``-word
 grams; equal windows have equal anchors at equal places. Neighbouring windows with one anchor make
-a span, and an index entry is (anchor hash, span hash) -> smallest id. A batch's entries go to
+a span, and an index entry is (anchor hash, span hash) -> smallest id. Of a span that several rows of
+a task hold, only those of the smallest id leave the task; the others repeat it. The entries go to
 buckets by anchor hash, packed; a bucket merges them with the sorted runs:
-  - a span that a smaller id has, word for word, repeats: all its windows do;
+  - a span that a smaller id has repeats: all its windows do;
   - an anchor that a smaller id has only in other spans leaves the span open, to be verified
     window by window, against one document for each different span of that anchor;
   - spans new to the index become the bucket's piece of the next run.
-Runs are compacted when they are many. A bucket's memory follows the batch and the distinct spans,
-never the number of copies already indexed.
+Runs are compacted when they are many, by the merge that reads them anyway. A bucket's memory follows the distinct spans and the tasks
+that hold them, never the number of copies.
+
+Spans are told apart by 64 bits under their anchor's 64 (S spans of one anchor: S**2/2**65 expected
+false matches, 3% at a billion), windows of open spans by 128 bits.
 """
 
 from __future__ import annotations
@@ -23,16 +27,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import textkernel as tk
-from brindle.llm.common import materialize, read_table, rows_with_ids, rows_without_ids
+from brindle.llm.common import load_tables, materialize, read_table, rows_with_ids, rows_without_ids, save_tables
 
 FLUSH = 1 << 19  # spans that a task packs at once
 LAST = (1 << 63) - 1  # stands for a null id: larger than all
+# Of spans still on their way ``own`` counts each document's; docs, own, start and count are pressed.
 BLOB = "pid int, old boolean, docs binary, prints binary, own binary, anchor binary, span binary, start binary, count binary"
-SPAN_BYTES = 6  # of a span's hash; with the anchor's eight, what identity rests on
+BLOBS = [x.split()[0] for x in BLOB.split(", ")]
+BLOB_KINDS = [pa.int32(), pa.bool_(), *[pa.binary()] * 7]
+
+
+def _pressed(a: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes(), 1)
+
+
+def _loose(pressed: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(pressed), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
 
 
 def spans(h: np.ndarray, first: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -64,30 +80,32 @@ def spans(h: np.ndarray, first: np.ndarray, width: int, gram: int) -> tuple[np.n
     return row[s], s - first[row[s]], count, grams[a[begin]], span
 
 
-def _cut(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SPAN_BYTES]).tobytes()
-
-
-def _uncut(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // SPAN_BYTES, 8), np.uint8)
-    out[:, :SPAN_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, SPAN_BYTES)
-    return out.reshape(-1).view("<u8")
-
-
 def _pack(buckets: int, width: int, gram: int):
-    def flush(held: list) -> pa.RecordBatch:
+    """Packed spans by bucket; those that a smaller id of the task has are known to repeat (``old`` is null)."""
+
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
         row, start, count, anchor, span, ids, prints = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(anchor ^ tk.mix(span))
+        new = np.ones(len(order), bool)
+        new[1:] = (anchor[order[1:]] != anchor[order[:-1]]) | (span[order[1:]] != span[order[:-1]])
+        own = ids[row]
+        later = np.empty(len(order), bool)
+        later[order] = own[order] > np.minimum.reduceat(own[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         pid = (anchor >> np.uint64(32)).astype(np.int64) % buckets
+        pid[later] = buckets
         order = np.argsort(pid, kind="stable")
-        border = np.searchsorted(pid[order], np.arange(buckets + 1))
+        border = np.searchsorted(pid[order], np.arange(buckets + 2))
         rows = []
         for b in np.flatnonzero(np.diff(border)).tolist():
             i = order[border[b] : border[b + 1]]
-            docs, own = np.unique(row[i], return_inverse=True)
-            rows.append((b, False, ids[docs].tobytes(), prints[docs].tobytes(), own.astype(np.uint32).tobytes(), anchor[i].tobytes(), _cut(span[i]), start[i].astype(np.uint32).tobytes(), count[i].astype(np.uint8).tobytes()))
-        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 7]
-        names = [x.split()[0] for x in BLOB.split(", ")]
-        return pa.record_batch({n: pa.array([r[j] for r in rows], k) for j, (n, k) in enumerate(zip(names, kinds, strict=True))})
+            docs, own = np.unique(row[i], return_counts=True)
+            about = (_pressed(np.diff(ids[docs], prepend=np.int64(0))), prints[docs].tobytes(), _pressed(own.astype(np.uint32)))
+            place = (_pressed(start[i].astype(np.uint32)), _pressed(count[i].astype(np.uint8)))
+            if b == buckets:  # a smaller id of this task has these
+                rows.append((int(ids[docs[0]]) % buckets, None, *about, None, None, *place))
+            else:
+                rows.append((b, False, *about, anchor[i].tobytes(), span[i].tobytes(), *place))
+        yield pa.record_batch([pa.array([r[j] for r in rows], k) for j, k in enumerate(BLOB_KINDS)], BLOBS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, base = [], 0, 0
@@ -100,10 +118,10 @@ def _pack(buckets: int, width: int, gram: int):
                 held.append((r + base, *rest, ids[at : at + rows], prints[at : at + rows]))
                 base, n = base + rows, n + len(r)
                 if n >= FLUSH:
-                    yield flush(held)
+                    yield from flush(held)
                     held, n, base = [], 0, 0
         if n:
-            yield flush(held)
+            yield from flush(held)
 
     return run
 
@@ -111,32 +129,38 @@ def _pack(buckets: int, width: int, gram: int):
 FOUND = "kind int, id long, print long, at int, windows int, key long, " + BLOB
 
 
-def _merge(with_run: bool):
-    """Of each bucket: repeated spans (kind 0), open ones (1) and its piece of the new run (2)."""
+def _merge(keep: bool, fold: bool):
+    """Of each bucket: repeated spans (kind 0), open ones (1) and its piece of the new run (2), with all old ones if ``fold``."""
     names = [x.split()[0] for x in FOUND.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 7]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), *BLOB_KINDS]
 
-    def rows_of(kind: int, id_: np.ndarray, print_: np.ndarray | None, start: np.ndarray, count: np.ndarray, anchor: np.ndarray) -> pa.RecordBatch:
+    def rows_of(kind: int, id_: np.ndarray, print_: np.ndarray | None, start: np.ndarray, count: np.ndarray, anchor: np.ndarray | None) -> pa.RecordBatch:
         n = len(id_)
-        cols = [pa.array(np.full(n, kind, np.int32)), pa.array(id_), pa.nulls(n, pa.int64()) if print_ is None else pa.array(print_), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64))]
-        return pa.record_batch(cols + [pa.nulls(n, k) for k in kinds[6:]], names)
+        none = pa.nulls(n, pa.int64())
+        cols = [pa.array(np.full(n, kind, np.int32)), pa.array(id_), none if print_ is None else pa.array(print_), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), none if anchor is None else pa.array(anchor.view(np.int64))]
+        return pa.record_batch(cols + [pa.nulls(n, k) for k in BLOB_KINDS], names)
 
     def merged(pid: int, blobs: list[dict]) -> Iterator[pa.RecordBatch]:
         part: dict[str, list] = {k: [] for k in ("id", "print", "start", "count", "anchor", "span", "old")}
         for b in blobs:
-            docs = np.frombuffer(b["docs"], np.int64)
+            docs = _loose(b["docs"], np.int64)
+            part["start"].append(_loose(b["start"], np.uint32))
+            part["count"].append(_loose(b["count"], np.uint8))
             if b["old"]:
                 part["id"].append(docs)
                 part["print"].append(np.zeros(len(docs), np.int64))
             else:
-                own = np.frombuffer(b["own"], np.uint32)
-                part["id"].append(docs[own])
+                own = np.repeat(np.arange(len(docs)), _loose(b["own"], np.uint32))
+                part["id"].append(np.cumsum(docs)[own])
                 part["print"].append(np.frombuffer(b["prints"], np.int64)[own])
-            part["start"].append(np.frombuffer(b["start"], np.uint32))
-            part["count"].append(np.frombuffer(b["count"], np.uint8))
+            if b["old"] is None:
+                yield rows_of(0, *(part[k].pop() for k in ("id", "print", "start", "count")), None)
+                continue
             part["anchor"].append(np.frombuffer(b["anchor"], np.uint64))
-            part["span"].append(_uncut(b["span"]))
+            part["span"].append(np.frombuffer(b["span"], np.uint64))
             part["old"].append(np.full(len(part["id"][-1]), b["old"]))
+        if not part["id"]:
+            return
         e = {k: np.concatenate(v) for k, v in part.items()}
         order = np.lexsort((e["start"], e["id"], e["span"], e["anchor"]))
         e = {k: v[order] for k, v in e.items()}
@@ -151,7 +175,7 @@ def _merge(with_run: bool):
         least_any = np.minimum.reduceat(e["id"], tops)[in_anchor]
         fresh = ~e["old"]
         repeat = fresh & (least < e["id"])
-        yield rows_of(0, *(e[k][repeat] for k in ("id", "print", "start", "count", "anchor")))
+        yield rows_of(0, *(e[k][repeat] for k in ("id", "print", "start", "count")), None)
         open_ = fresh & ~repeat & (least_any < e["id"])
         if open_.any():
             yield rows_of(1, *(e[k][open_] for k in ("id", "print", "start", "count", "anchor")))
@@ -160,10 +184,10 @@ def _merge(with_run: bool):
             head = heads[asked[in_anchor[heads]]]
             head = head[~open_[head]]
             yield rows_of(1, e["id"][head], None, e["start"][head], e["count"][head], e["anchor"][head])
-        if with_run:
-            head = heads[fresh[heads]]
+        if keep:
+            head = heads if fold else heads[fresh[heads]]
             if len(head):
-                row = (2, None, None, None, None, None, pid, True, e["id"][head].tobytes(), None, None, e["anchor"][head].tobytes(), _cut(e["span"][head]), e["start"][head].astype(np.uint32).tobytes(), e["count"][head].astype(np.uint8).tobytes())
+                row = (2, None, None, None, None, None, pid, True, _pressed(e["id"][head]), None, None, e["anchor"][head].tobytes(), e["span"][head].tobytes(), _pressed(e["start"][head]), _pressed(e["count"][head]))
                 yield pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,6 +210,9 @@ class FingerprintIndex:
     """Runs of (anchor, span) -> (smallest id, place), for one ``width``, ``gram`` and number of buckets.
 
     ``texts``: the documents of earlier calls (id, print, text), against which open spans are verified.
+    Where a batch would make more than ``most_runs`` runs, its merge writes one that holds them all (ids
+    of a later run are larger, so the first entry of a span wins). ``save`` and ``load`` carry an index from session
+    to session.
     """
 
     def __init__(self, buckets: int, width: int = 13, gram: int = 5, most_runs: int = 4) -> None:
@@ -202,66 +229,77 @@ class FingerprintIndex:
         blobs = batch.mapInArrow(_pack(self.buckets, self.width, self.gram), BLOB)
         for r in self.runs:
             blobs = blobs.unionByName(r)
-        blobs = blobs.repartition(self.buckets, "pid").sortWithinPartitions("pid")
-        found = materialize(blobs.mapInArrow(_merge(keep), FOUND), "found")
+        fold = len(self.runs) >= self.most_runs
+        # A task works through several buckets, one after the other.
+        found = materialize(blobs.repartition(max(1, self.buckets // 2), "pid").sortWithinPartitions("pid").mapInArrow(_merge(keep, fold), FOUND), "found")
         if keep:
-            self.runs.append(found.where("kind = 2").select(*(x.split()[0] for x in BLOB.split(", "))))
-            if len(self.runs) > self.most_runs:
-                self.compact()
-        span = found.select("kind", "id", "print", F.col("at").alias("start"), F.col("windows").alias("count"), F.col("key").alias("anchor"))
-        return span.where("kind = 0").drop("kind", "anchor"), span.where("kind = 1").drop("kind")
-
-    def compact(self) -> None:
-        """Merge all runs into one; ids of a later run are larger, so the first entry of a span wins."""
-        blobs = self.runs[0]
-        for r in self.runs[1:]:
-            blobs = blobs.unionByName(r)
-        blobs = blobs.repartition(self.buckets, "pid").sortWithinPartitions("pid")
-        self.runs = [materialize(blobs.mapInArrow(_compacted, BLOB), "run")]
-
-
-def _compacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def one(pid: int, rows: list[dict]) -> pa.RecordBatch:
-        get = lambda k, t: np.concatenate([np.frombuffer(r[k], t) for r in rows])
-        id_, anchor, start, count = get("docs", np.int64), get("anchor", np.uint64), get("start", np.uint32), get("count", np.uint8)
-        span = np.concatenate([_uncut(r["span"]) for r in rows])
-        order = np.lexsort((id_, span, anchor))
-        id_, anchor, start, count, span = (x[order] for x in (id_, anchor, start, count, span))
-        keep = np.ones(len(order), bool)
-        keep[1:] = (anchor[1:] != anchor[:-1]) | (span[1:] != span[:-1])
-        row = (pid, True, id_[keep].tobytes(), None, None, anchor[keep].tobytes(), _cut(span[keep]), start[keep].tobytes(), count[keep].tobytes())
-        kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 7]
-        return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in BLOB.split(", ")])
-
-    pid, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["pid"] != pid and rows:
-                yield one(pid, rows)
-                rows = []
-            pid = row["pid"]
-            rows.append(row)
-    if rows:
-        yield one(pid, rows)
+            self.runs = [*([] if fold else self.runs), found.where("kind = 2").select(*BLOBS)]
+        span = ("id", "print", F.col("at").alias("start"), F.col("windows").alias("count"))
+        return found.where("kind = 0").select(*span), found.where("kind = 1").select(*span, F.col("key").alias("anchor"))
+
+    def save(self, folder: str) -> str:
+        """Write the index as the next version in ``folder``."""
+        if not self.runs:
+            raise ValueError("the index holds nothing yet")
+        spark = self.runs[0].sparkSession
+        about = spark.createDataFrame([(self.buckets, self.width, self.gram, self.most_runs)], "buckets int, width int, gram int, most_runs int")
+        runs = {f"run-{i:04d}": r for i, r in enumerate(self.runs)}
+        return save_tables({"about": about, **runs, **{f"texts-{i:04d}": t for i, t in enumerate(self.texts)}}, folder)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> FingerprintIndex | None:
+        """The index as last saved in ``folder``, or None."""
+        tables = load_tables(spark, folder)
+        if not tables:
+            return None
+        index = cls(**tables["about"].first().asDict())
+        index.runs = [t for k, t in tables.items() if k.startswith("run-")]
+        index.texts = [t for k, t in tables.items() if k.startswith("texts-")]
+        return index
+
+
+WINDOWS = "w long, v long, id long, print long, start int, asks boolean, known boolean"
 
 
 def _windows(width: int):
-    """Hashes of the windows that open spans hold."""
+    """Hashes of the windows that open spans hold.
+
+    Of a window that several rows of a task hold, only those of the smallest id are handed on; what
+    others ask is ``known`` then: a smaller id has it.
+    """
+
+    def flush(held: list) -> pa.RecordBatch:
+        w, v, ids, prints, start, asks = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((ids, v, w))
+        w, v, ids, prints, start, asks = (x[order] for x in (w, v, ids, prints, start, asks))
+        new = np.ones(len(w), bool)
+        new[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+        later = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+        stay = ~later | asks
+        cols = {"w": w.view(np.int64), "v": v.view(np.int64), "id": ids, "print": prints, "start": start, "asks": asks, "known": later}
+        return pa.record_batch({k: pa.array(x[stay]) for k, x in cols.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             ids, prints, wanted = batch.column("id").to_pylist(), batch.column("print").to_pylist(), batch.column("wanted").to_pylist()
             for at, data, offsets in tk.slices(batch.column("text")):
                 starts, ends, first = tk.words(data, offsets)
-                whole = tk.window_hashes(tk.word_hashes(data, starts, ends), width, 13)
+                h = tk.word_hashes(data, starts, ends)
+                whole, again = tk.window_hashes(h, width, 13), tk.window_hashes(h, width, 17)
                 for i in range(len(offsets) - 1):
                     last = first[i + 1] - first[i] - width
                     place = [(s + j, w["asks"]) for w in wanted[at + i] for s in [w["start"]] for j in range(w["count"]) if s + j <= last]
                     if not place:
                         continue
-                    p = np.array([x for x, _ in place], np.int64)
-                    n = len(p)
-                    yield pa.record_batch({"w": pa.array(whole[first[i] + p].view(np.int64)), "id": pa.array([ids[at + i]] * n, pa.int64()), "print": pa.array([prints[at + i]] * n, pa.int64()), "start": pa.array(p.astype(np.int32)), "asks": pa.array([a for _, a in place], pa.bool_())})
+                    p, m = np.array([x for x, _ in place], np.int64), len(place)
+                    held.append((whole[first[i] + p], again[first[i] + p], np.full(m, ids[at + i]), np.full(m, prints[at + i]), p.astype(np.int32), np.array([a for _, a in place], bool)))
+                    n += m
+                if n >= FLUSH:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
 
     return run
 
@@ -276,14 +314,17 @@ def verify(docs: DataFrame, open_: DataFrame, width: int) -> DataFrame:
         return open_.select("id", "print", "start", "count")
     asks = open_.where("print is not null").select("id", "print", "start", "count", F.lit(True).alias("asks"))
     held = open_.where("print is null").select("id", "start", "count").distinct()
-    near = rows_with_ids(docs, open_, "id")
-    prints = materialize(near, "open-texts")
-    held = held.join(prints.select("id", "print"), "id").select("id", "print", "start", "count", F.lit(False).alias("asks"))
-    wanted = _by_document(asks.unionByName(held).distinct(), "start", "count", "asks")
-    rows = prints.join(wanted, ["id", "print"]).dropDuplicates(["id", "print"]).select("id", "print", "text", "wanted")
-    rows = materialize(rows.mapInArrow(_windows(width), "w long, id long, print long, start int, asks boolean"), "windows")
-    least = rows.groupBy("w").agg(F.min("id").alias("least"))
-    return rows.where("asks").join(least, "w").where("least < id").select("id", "print", "start", F.lit(1).alias("count"))
+    ids = materialize(open_.select("id").distinct(), "open-ids")
+    near = rows_with_ids(docs, ids, "id")
+    prints = materialize(near.select("id", "print"), "open-rows")
+    held = held.join(prints, "id").select("id", "print", "start", "count", F.lit(False).alias("asks"))
+    wanted = materialize(_by_document(asks.unionByName(held).distinct(), "start", "count", "asks"), "wanted")
+    rows = near.join(wanted, ["id", "print"]).dropDuplicates(["id", "print"]).select("id", "print", "text", "wanted")
+    rows = materialize(rows.mapInArrow(_windows(width), WINDOWS), "windows")
+    asked = rows.where("asks").select("w", "v", "id", "print", "start", "known")
+    least = rows.where("not known").groupBy("w", "v").agg(F.min("id").alias("least"))
+    found = asked.where("not known").join(least, ["w", "v"]).where("least < id").unionByName(asked.where("known"), allowMissingColumns=True)
+    return found.select("id", "print", "start", F.lit(1).alias("count"))
 
 
 def _apply(width: int, with_text: bool):
@@ -311,17 +352,17 @@ def _apply(width: int, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, batches: int = 2, buckets: int | None = None, index: FingerprintIndex | None = None, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, batches: int = 2, buckets: int | None = None, index: FingerprintIndex | None = None, with_text: bool = False, most_runs: int = 4) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (and text, the kept words joined by one space).
 
     Words are runs of anything but space and tab..carriage return, unchanged. Null and empty texts
     have no words; texts of fewer than ``width`` words no window. Rows that repeat an id are not
     smaller than each other. A null id counts as larger than any other. Other columns are ignored.
     ``batches``: parts by ascending id, merged with the index one after the other (more of them:
-    less memory a bucket). ``buckets`` defaults to four for each partition of the input.
+    less memory a bucket); the index that a call makes compacts more than ``most_runs`` runs. ``buckets`` defaults to four for each partition of the input.
     ``index``: documents of earlier calls with it count as smaller where their ids are; it keeps all
     documents of this call, texts included. Ids should ascend from call to call, as what an earlier
-    call returned stays. Its ``width`` and ``gram`` must be those of the call.
+    call returned stays. Its ``width`` and ``gram`` must be those of the call. No rows: no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).withColumn("print", F.xxhash64("text")).drop("doc_id")
@@ -329,7 +370,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, batches: in
     carried = index is not None
     if carried and (index.width, index.gram) != (width, gram):
         raise ValueError("the index has another width or gram")
-    index = index or FingerprintIndex(buckets or max(32, 4 * docs.rdd.getNumPartitions()), width, gram)
+    index = index or FingerprintIndex(buckets or max(32, 4 * docs.rdd.getNumPartitions()), width, gram, most_runs)
     cuts = rows.select(F.percentile_approx("id", [i / batches for i in range(1, batches)], 10000).alias("c")).first()["c"] if batches > 1 else []
     edges = sorted(set(cuts or []))
     repeated, open_ = [], []
@@ -360,7 +401,9 @@ def substring_dedup(docs: DataFrame, width: int = 13, gram: int = 5, batches: in
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(read_table(spark, sf_dir, "documents"))
+    """Three batches: the second merges with one run, and compacts it with its own for the third."""
+    docs = read_table(spark, sf_dir, "documents")
+    return substring_dedup(docs, batches=3, most_runs=1)
 
 
 ORACLE = """
