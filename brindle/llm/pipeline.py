@@ -28,7 +28,7 @@ def _without(rows: DataFrame, gone: DataFrame, id_col: str, *also: str) -> DataF
     same = F.lit(True)
     for c in (id_col, *also):
         same &= F.col(f"d.{c}").eqNullSafe(F.col(f"g.{c}"))
-    near = rows_with_ids(rows, gone, id_col).alias("d").join(gone.alias("g"), same, "left_anti").select("row")
+    near = rows_with_ids(rows, gone, id_col).alias("d").join(gone.hint("merge").alias("g"), same, "left_anti").select("row")
     return rows_without_ids(rows, gone, id_col).select("row").unionByName(near).select("row.*")
 
 
