@@ -282,20 +282,21 @@ def _windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids, prints, wanted = batch.column("id").to_pylist(), batch.column("print").to_pylist(), batch.column("wanted").to_pylist()
+            ids, prints = batch.column("id").to_pylist(), batch.column("print").to_pylist()
             for at, data, offsets in tk.slices(batch.column("text")):
                 starts, ends, first = tk.words(data, offsets)
                 h = tk.word_hashes(data, starts, ends)
                 whole, again = tk.window_hashes(h, width, 13), tk.window_hashes(h, width, 17)
+                wanted = batch.column("wanted").slice(at, len(offsets) - 1).to_pylist()
                 for i in range(len(offsets) - 1):
                     last = first[i + 1] - first[i] - width
-                    place = [(s + j, w["asks"]) for w in wanted[at + i] for s in [w["start"]] for j in range(w["count"]) if s + j <= last]
+                    place = [(s + j, w["asks"]) for w in wanted[i] for s in [w["start"]] for j in range(w["count"]) if s + j <= last]
                     if not place:
                         continue
                     p, m = np.array([x for x, _ in place], np.int64), len(place)
                     held.append((whole[first[i] + p], again[first[i] + p], np.full(m, ids[at + i]), np.full(m, prints[at + i]), p.astype(np.int32), np.array([a for _, a in place], bool)))
                     n += m
-                if n >= FLUSH:
+                if n >= FLUSH // 4:
                     yield flush(held)
                     held, n = [], 0
         if n:
@@ -330,14 +331,13 @@ def verify(docs: DataFrame, open_: DataFrame, width: int) -> DataFrame:
 def _apply(width: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, wanted = batch.column("text"), batch.column("wanted").to_pylist()
             n, gone, kept = [], [], []
-            for at, data, offsets in tk.slices(texts):
-                raw = data.tobytes()
+            for at, data, offsets in tk.slices(batch.column("text")):
+                raw, wanted = data.tobytes(), batch.column("wanted").slice(at, len(offsets) - 1).to_pylist()
                 for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                     own = raw[a:b].split()  # bytes: splits at space and tab .. carriage return only
                     dead = np.zeros(len(own) + 1, np.int64)
-                    for w in wanted[at + i] or ():
+                    for w in wanted[i] or ():
                         dead[w["start"]] += 1
                         dead[min(len(own), w["start"] + w["count"] + width - 1)] -= 1
                     dead = np.cumsum(dead[:-1]) > 0
